@@ -93,32 +93,44 @@ def neighbours(
     )
 
 
-def row_numbers(
-    df: DataFrame, keys: Sequence[str], ts: str, tie: Sequence[str] = (), name: str = "rn",
-    hot_rows: int = HOT_ROWS,
+def running_sum(
+    df: DataFrame, keys: Sequence[str], ts: str, order: Sequence, value: str, name: str, hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """``row_number`` per key in time order, hot keys numbered shard by shard."""
+    """Sum of ``value`` over the rows of the key up to and including this one.
+
+    ``order`` must start with ``ts``; the sum of the earlier shards of a hot key is added as
+    one number per shard.
+    """
     keys = list(keys)
     sharded = with_shard(df, keys, ts, hot_rows)
-    within = Window.partitionBy(*keys, "_shard").orderBy(ts, *tie)
+    within = Window.partitionBy(*keys, "_shard").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     along = Window.partitionBy(*keys).orderBy("_shard").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         sharded.filter(F.col("_shard").isNotNull())
-        .groupBy(*keys, "_shard").agg(F.count(F.lit(1)).alias("_rows"))
+        .groupBy(*keys, "_shard").agg(F.sum(value).alias("_part"))
         .select(
             *[F.col(k).alias(f"_seam_{k}") for k in keys], F.col("_shard").alias("_seam_shard"),
-            F.coalesce(F.sum("_rows").over(along), F.lit(0)).alias("_offset"),
+            F.coalesce(F.sum("_part").over(along), F.lit(0)).alias("_offset"),
         )
     )
     same = [F.col(k).eqNullSafe(F.col(f"_seam_{k}")) for k in keys]
     return (
-        sharded.withColumn("_rn", F.row_number().over(within))
+        sharded.withColumn("_sum", F.sum(value).over(within))
         .join(F.broadcast(offsets), [*same, F.col("_shard") == F.col("_seam_shard")], "left")
         .select(*[F.col(c) for c in df.columns],
-                (F.col("_rn") + F.coalesce(F.col("_offset"), F.lit(0))).alias(name))
+                (F.col("_sum") + F.coalesce(F.col("_offset"), F.lit(0))).alias(name))
     )
 
 
+def row_numbers(
+    df: DataFrame, keys: Sequence[str], ts: str, tie: Sequence[str] = (), name: str = "rn",
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """``row_number`` per key in time order, hot keys numbered shard by shard."""
+    ones = df.withColumn("_one", F.lit(1))
+    return running_sum(ones, keys, ts, [ts, *tie], "_one", name, hot_rows).drop("_one")
+
+
 def forward_shards(
     df: DataFrame, keys: Sequence[str], ts: str, reach_us: int, hot_rows: int = HOT_ROWS,
     width_us: int | None = None,
