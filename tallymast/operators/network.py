@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import count_if, pct, seconds_between, us
+from ..plans.folds import with_island
 from ..plans.joins import block_pairs
 from ..plans.shards import count_ahead
 from .cdr import TIE, contact_counts, people
@@ -83,21 +84,6 @@ def synchronized(df: DataFrame, seconds: int = 300, tie: Sequence[str] = TIE) ->
         F.when(F.col("subjects") >= 3, "COORDINATED").otherwise("SYNCHRONIZED").alias("kind"))
 
 
-def with_island(df: DataFrame, ts: str, gap_us: int) -> DataFrame:
-    """Adds ``island``, a number shared by rows with no gap longer than ``gap_us`` between them.
-
-    Rows in one time cell of width ``gap_us`` can never be an island apart, so islands are
-    unions of whole cells and are found on one row per occupied cell (about 100,000 a year
-    for five minutes, however many rows there are).
-    """
-    cell = F.floor(us(ts) / gap_us)
-    cells = df.groupBy(cell.alias("_cell")).agg(F.min(us(ts)).alias("_lo"), F.max(us(ts)).alias("_hi"))
-    w = Window.orderBy("_cell")
-    breaks = cells.withColumn("_new", (F.col("_lo") - F.lag("_hi").over(w) > gap_us).cast("int"))
-    numbered = breaks.select("_cell", F.sum(F.coalesce("_new", F.lit(0))).over(w).alias("island"))
-    return df.withColumn("_cell", cell).join(F.broadcast(numbered), "_cell").drop("_cell")
-
-
 def synchronized_greedy(df: DataFrame, seconds: int = 300, tie: Sequence[str] = TIE) -> DataFrame:
     """Synchronized activity with consumed records.
 

@@ -75,3 +75,19 @@ def keep_skipping(df: DataFrame, key: str, ts: str, number: str, size: str, span
             yield pdf[mask]
 
     return rows.mapInPandas(fold, rows.schema)
+
+
+def with_island(df: DataFrame, ts: str, gap_us: int, keys: Sequence[str] = ()) -> DataFrame:
+    """Adds ``island``, shared by rows of a key with no gap longer than ``gap_us`` between them.
+
+    Rows in one time cell of width ``gap_us`` are always one island, so islands are unions of
+    whole cells and are found on one row per occupied cell (about 100,000 a year for five
+    minutes, however many rows there are).
+    """
+    keys = list(keys)
+    cell = F.floor(us(ts) / gap_us)
+    cells = df.groupBy(*keys, cell.alias("_cell")).agg(F.min(us(ts)).alias("_lo"), F.max(us(ts)).alias("_hi"))
+    w = Window.partitionBy(*keys).orderBy("_cell")
+    breaks = cells.withColumn("_new", (F.col("_lo") - F.lag("_hi").over(w) > gap_us).cast("int"))
+    numbered = breaks.select(*keys, "_cell", F.sum(F.coalesce("_new", F.lit(0))).over(w).alias("island"))
+    return df.withColumn("_cell", cell).join(numbered, [*keys, "_cell"]).drop("_cell")
