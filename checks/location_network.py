@@ -118,11 +118,10 @@ def _(v):
 
 
 @check("N3_isolated_subjects", f"""
-WITH {_LINK.replace('FROM calls', "FROM calls WHERE CAST(b_party AS BIGINT) % 50 = 1")}
-SELECT s AS subject FROM ids WHERE s NOT IN (SELECT subject FROM dl UNION ALL SELECT to_subject FROM dl)""")
+WITH {_LINK}, fr AS (SELECT * FROM dl WHERE calls >= 4)
+SELECT s AS subject FROM ids WHERE s NOT IN (SELECT subject FROM fr UNION ALL SELECT to_subject FROM fr)""")
 def _(v):
-    edges = network.contact_edges(v.cdr).filter("CAST(contact AS BIGINT) % 50 = 1")
-    return network.isolated_subjects(edges, _ids(v))
+    return network.isolated_subjects(network.contact_edges(v.cdr).filter("calls >= 4"), _ids(v))
 
 
 _SHARED = "sh AS (SELECT contact, count(*) AS sharers, CAST(sum(calls) AS BIGINT) AS calls, count(*) >= 3 AS intermediary FROM e GROUP BY 1 HAVING count(*) > 1)"

@@ -34,12 +34,12 @@ def msisdn(c):
 
 @check("S4_deduplicate", """
 WITH a AS (SELECT event_id, mobile_number, us - us % 60000000 AS m, tower_id, 'f1' AS source_file FROM tower_dump
-  UNION ALL SELECT event_id + 1, mobile_number, us - us % 60000000, tower_id, 'f0' FROM tower_dump WHERE event_id % 3 = 0),
+  UNION ALL SELECT event_id + 1, mobile_number, us - us % 60000000, tower_id, 'f0' FROM tower_dump),
 r AS (SELECT *, row_number() OVER (PARTITION BY m, mobile_number, tower_id ORDER BY source_file, event_id) AS n FROM a)
 SELECT event_id, mobile_number, m AS timestamp, tower_id, source_file FROM r WHERE n = 1""")
 def _(v):
     a = v.tower_dump.select("event_id", "mobile_number", S.bin_start("timestamp", 60).alias("timestamp"), "tower_id", F.lit("f1").alias("source_file"))
-    b = a.filter("event_id % 3 = 0").withColumns({"event_id": F.col("event_id") + 1, "source_file": F.lit("f0")})
+    b = a.withColumns({"event_id": F.col("event_id") + 1, "source_file": F.lit("f0")})
     return normalize.deduplicate(a.unionByName(b))
 
 
@@ -54,9 +54,9 @@ def _(v):
 
 
 @check("S9_consolidate", """
-SELECT subject, count(*) AS records FROM (SELECT 'a' AS subject FROM cdr WHERE event_id % 2 = 0 UNION ALL SELECT 'b' FROM cdr_dense WHERE event_id % 3 = 0) GROUP BY 1""")
+SELECT subject, count(*) AS records FROM (SELECT 'a' AS subject FROM cdr UNION ALL SELECT 'b' FROM cdr_dense) GROUP BY 1""")
 def _(v):
-    out = consolidate({"a": v.cdr.filter("event_id % 2 = 0").drop("subject"), "b": v.cdr_dense.filter("event_id % 3 = 0").drop("subject", "lat")})
+    out = consolidate({"a": v.cdr.drop("subject"), "b": v.cdr_dense.drop("subject", "lat")})
     return out.groupBy("subject").agg(F.count(F.lit(1)).alias("records"))
 
 
@@ -404,10 +404,10 @@ def _(v):
     return quality.new_sim_activity(v.tower_dump_dense)
 
 
-@check("V19_one_time_numbers", "SELECT mobile_number, min(tower_id) AS tower_id FROM (SELECT CAST(event_id AS VARCHAR) || '_' || mobile_number AS mobile_number, tower_id FROM tower_dump WHERE event_id % 5 = 0 UNION ALL SELECT mobile_number, tower_id FROM tower_dump) GROUP BY 1 HAVING count(*) = 1")
+@check("V19_one_time_numbers", "SELECT mobile_number, min(tower_id) AS tower_id FROM (SELECT CAST(event_id AS VARCHAR) || '_' || mobile_number AS mobile_number, tower_id FROM tower_dump UNION ALL SELECT mobile_number, tower_id FROM tower_dump) GROUP BY 1 HAVING count(*) = 1")
 def _(v):
     t = v.tower_dump.select("event_id", "mobile_number", "tower_id")
-    some = t.filter("event_id % 5 = 0").withColumn("mobile_number", F.concat_ws("_", F.col("event_id").cast("string"), "mobile_number"))
+    some = t.withColumn("mobile_number", F.concat_ws("_", F.col("event_id").cast("string"), "mobile_number"))
     return quality.one_time_numbers(t.unionByName(some))
 
 

@@ -245,12 +245,11 @@ def one_ring(df: DataFrame, seconds: int = 3, k: int = 5, signals: int = 3, with
     )
 
 
-def distinct_links(df: DataFrame) -> DataFrame:
-    """Directed caller -> callee links, self-links and provider messages left out."""
-    return (
-        people(df).select(F.col("a_party").alias("src"), F.col("b_party").alias("dst"))
-        .filter("src <> dst").distinct()
-    )
+def distinct_links(df: DataFrame, min_calls: int = 1) -> DataFrame:
+    """Directed caller -> callee links with at least ``min_calls`` calls; self-links and provider
+    messages left out."""
+    links = people(df).select(F.col("a_party").alias("src"), F.col("b_party").alias("dst")).filter("src <> dst")
+    return links.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("calls")).filter(F.col("calls") >= min_calls).drop("calls")
 
 
 def call_cycles(links: DataFrame, shortest: int = 3, longest: int = 5) -> DataFrame:
