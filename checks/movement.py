@@ -118,7 +118,7 @@ WITH d AS (SELECT mobile_number, us, CASE WHEN CAST(mobile_number AS BIGINT) % 9
 vs AS (SELECT DISTINCT mobile_number, t FROM d), p AS (SELECT DISTINCT x.t AS a, y.t AS b FROM vs x JOIN vs y USING (mobile_number) WHERE x.t <> y.t),
 g AS (SELECT a AS t, count(*) AS n FROM p GROUP BY 1),
 u AS (SELECT t, mobile_number, count(*) AS c, max(us) - min(us) AS s FROM d GROUP BY 1, 2)
-SELECT g.t AS tower_id, n AS neighbours, count(*) AS devices, count(*) FILTER (c > 1 AND s < 600 * 60000000) AS brief_visits FROM g JOIN u USING (t) WHERE n < (SELECT avg(n) FROM g) * 0.5 GROUP BY 1, 2""")
+SELECT g.t AS tower_id, n AS neighbours, count(*) AS devices, count(*) FILTER (c > 1 AND s < 36000000000) AS brief_visits FROM g JOIN u USING (t) WHERE n < (SELECT avg(n) FROM g) * 0.5 GROUP BY 1, 2""")
 def _(v):
     far = F.expr("concat('E', CAST(substr(tower_id, 2) AS INT) % 3)")
     d = v.tower_dump.withColumn("tower_id", F.when(F.expr("CAST(mobile_number AS BIGINT) % 9 = 0"), far).otherwise(F.col("tower_id")))
