@@ -251,7 +251,7 @@ def _(v):
     return correlate.timeline(v.cdr, sess(v))
 
 
-@check("K11_risk_amplifiers", f"""WITH {ALL} SELECT subject, round(CASE WHEN critical_encrypted > 5 THEN 1.5 ELSE 1 END * CASE WHEN silent_mb > 200 THEN 1.3 ELSE 1 END * CASE WHEN shifts > 3 THEN 1.2 ELSE 1 END, 4) AS multiplier,
+@check("K11_risk_amplifiers", f"""WITH {ALL} SELECT subject, round(CAST(CASE WHEN critical_encrypted > 5 THEN 1.5 ELSE 1 END * CASE WHEN silent_mb > 200 THEN 1.3 ELSE 1 END * CASE WHEN shifts > 3 THEN 1.2 ELSE 1 END AS DOUBLE), 4) AS multiplier,
  concat_ws('|', CASE WHEN critical_encrypted > 5 THEN 'IMMEDIATE_ENCRYPTION' END, CASE WHEN silent_mb > 200 THEN 'SILENT_DATA' END, CASE WHEN shifts > 3 THEN 'CHANNEL_SHIFTS' END) AS reasons FROM kn""")
 def _(v):
     return both(v)["amplifiers"]

@@ -149,7 +149,7 @@ def _(v):
     return charts.device_density(v.tower_dump_dense)
 
 
-@check("Z4_risk_by_tower", f"WITH RECURSIVE {PATTERNS}, {R3} SELECT tower_id, round(avg(coalesce(score, 0)), 4) AS mean_risk, max(coalesce(score, 0)) AS max_risk, sum(coalesce(score, 0)) AS total_risk, count(DISTINCT mobile_number) AS devices FROM tower_dump LEFT JOIN r3l ON subject = mobile_number GROUP BY 1")
+@check("Z4_risk_by_tower", f"WITH RECURSIVE {PATTERNS}, {R3} SELECT tower_id, round(avg(coalesce(score, 0)), 4) AS mean_risk, CAST(max(coalesce(score, 0)) AS DOUBLE) AS max_risk, CAST(sum(coalesce(score, 0)) AS DOUBLE) AS total_risk, count(DISTINCT mobile_number) AS devices FROM tower_dump LEFT JOIN r3l ON subject = mobile_number GROUP BY 1")
 def _(v):
     return charts.risk_by_tower(v.tower_dump, risk.cdr_risk_report(p(v)))
 
