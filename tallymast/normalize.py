@@ -12,19 +12,20 @@ from . import schema, tables
 from .functions import scalar as S
 
 
-def rename(df: DataFrame, aliases: Mapping[str, Sequence[str]], keep_rest: bool = False) -> DataFrame:
+def rename(df: DataFrame, aliases: Mapping[str, Sequence[str]], merge: bool = False) -> DataFrame:
     """First matching alias per canonical name, ignoring case, underscores and spaces being the
     same.  Names are resolved on the driver from column metadata only; absent columns become
-    null columns."""
+    null columns.  ``merge`` takes the first filled one row by row, for input that shows every
+    alias as a column."""
     flat = lambda name: name.strip().lower().replace("_", " ")
     present: dict[str, str] = {}
     for c in df.columns:
         present.setdefault(flat(c), c)
-    chosen = {name: next((present[flat(a)] for a in names if flat(a) in present), None) for name, names in aliases.items()}
-    out = [F.col(f"`{c}`").alias(n) if c else F.lit(None).cast("string").alias(n) for n, c in chosen.items()]
-    if keep_rest:
-        taken = {c for c in chosen.values() if c}
-        out += [F.col(f"`{c}`") for c in df.columns if c not in taken and c not in chosen]
+    out = []
+    for name, names in aliases.items():
+        found = list(dict.fromkeys(present[flat(a)] for a in names if flat(a) in present))
+        columns = [F.col(f"`{c}`") for c in (found if merge else found[:1])]
+        out.append((F.coalesce(*columns) if columns else F.lit(None).cast("string")).alias(name))
     return df.select(*out)
 
 

@@ -334,22 +334,33 @@ def weekend_split(df: DataFrame) -> DataFrame:
                       pct(F.col("weekend_calls"), F.col("total")).alias("weekend_pct"))
 
 
-def cdr_patterns(df: DataFrame) -> DataFrame:
-    """All pattern indicators of a subject in one row: the input of the risk scores."""
-    from .location import cell_profile, rapid_cell_changes
-
-    device = device_profile(df).select("subject", "imei_count", "imsi_count", "device_switching", "sim_swap")
-    odd = odd_hours(df).select("subject", "total", "odd_pct")
-    days = pattern_days(df).select("subject", "pattern_pct")
-    bursts = call_bursts(df).groupBy("subject").agg(F.count(F.lit(1)).alias("bursts"))
-    split = voice_sms_profile(df).select("subject", "voice_pct", "voice_only")
+def cdr_patterns(df: DataFrame, tie: Sequence[str] = TIE) -> DataFrame:
+    """All pattern indicators of a subject in one row: the input of the risk scores.
+
+    The indicators that are plain aggregates come from one pass over the records; only those
+    with another grouping or an order have passes of their own.
+    """
+    from .location import rapid_cell_changes
+
+    kind, when = F.col("call_type"), "datetime"
+    rows = people(df)
+    base = rows.groupBy("subject").agg(
+        F.count_distinct("imei").alias("imei_count"), F.count_distinct("imsi").alias("imsi_count"), F.count_distinct("first_cell").alias("tower_count"),
+        F.count(F.lit(1)).alias("total"), count_if(odd_hour(when)).alias("_odd"), count_if(day_name(when).isin(tables.PATTERN_DAYS)).alias("_days"),
+        count_if(kind.isin(tables.VOICE_TYPES)).alias("_voice"), count_if(kind.isin(tables.SMS_TYPES)).alias("_sms"), count_if(is_weekend(when)).alias("_weekend"),
+        F.coalesce(F.bool_or(F.col("first_cell") != F.col("last_cell")), F.lit(False)).alias("tower_hopping"))
+    share = lambda c, name: pct(F.col(c), F.col("total")).alias(name)
+    base = base.select(
+        "subject", "imei_count", "imsi_count", (F.col("imei_count") >= 3).alias("device_switching"), (F.col("imsi_count") > 1).alias("sim_swap"), "total",
+        share("_odd", "odd_pct"), share("_days", "pattern_pct"), share("_weekend", "weekend_pct"), pct(F.col("_voice"), F.col("_voice") + F.col("_sms")).alias("voice_pct"),
+        ((F.col("_sms") == 0) & (F.col("_voice") > 0)).alias("voice_only"), "tower_count", "tower_hopping")
+    bursts = keep_spaced(burst_candidates(df, tie=tie), "subject", "datetime", 300_000_000, 10, tie).groupBy("subject").agg(F.count(F.lit(1)).alias("bursts"))
     repeated = repeated_durations(df).groupBy("subject").agg(F.count(F.lit(1)).alias("repeated_durations"))
-    freq = contact_frequency(df).select("subject", "contacts", "high_frequency_contacts", "single_call_contacts")
-    cells = cell_profile(df).select("subject", "tower_count", "tower_hopping")
-    rapid = rapid_cell_changes(df).groupBy("subject").agg(F.count(F.lit(1)).alias("rapid_changes"))
+    freq = contact_counts(df).groupBy("subject").agg(
+        F.count(F.lit(1)).alias("contacts"), count_if(F.col("calls") > 20).alias("high_frequency_contacts"), count_if(F.col("calls") == 1).alias("single_call_contacts"))
+    rapid = rapid_cell_changes(df, tie=tie).groupBy("subject").agg(F.count(F.lit(1)).alias("rapid_changes"))
     daily = daily_activity(df).select("subject", "active_days", F.col("change").alias("activity_change"))
-    weekend = weekend_split(df).select("subject", "weekend_pct")
-    out = device
-    for part in (odd, days, bursts, split, repeated, freq, cells, rapid, daily, weekend):
+    out = base
+    for part in (bursts, repeated, freq, rapid, daily):
         out = out.join(part, "subject", "left")
     return out.fillna(0, ["bursts", "repeated_durations", "rapid_changes", "high_frequency_contacts", "single_call_contacts", "contacts"])

@@ -399,13 +399,60 @@ WEIGHTS = {"encryption": 0.30, "data": 0.25, "session": 0.25, "app": 0.20}
 
 
 def ipdr_components(df: DataFrame, tie: Sequence[str] = TIE) -> DataFrame:
-    """Score, level and the figures behind them for the four components."""
-    enc = encryption_score(df).select("subject", "sessions", "encrypted_pct", "odd_encrypted",
-                                      F.col("score").alias("encryption_score"), F.col("level").alias("encryption_level"))
-    data = data_score(df).select("subject", "large_uploads", "ratio", F.col("score").alias("data_score"), F.col("level").alias("data_level"))
-    ses = session_score(df, tie).select("subject", "marathons", "concurrent_pairs", F.col("score").alias("session_score"), F.col("level").alias("session_level"))
-    app = app_score(df, tie).select("subject", "high_risk_apps", "unknown_ports", F.col("score").alias("app_score"), F.col("level").alias("app_level"))
-    return _join([enc, data, ses, app], "inner")
+    """Score, level and the figures behind them for the four components.
+
+    Same results as the four score operators, with shared passes: one over the sessions of a
+    subject, one over its days, one over its applications and ports, and those that need an
+    order.
+    """
+    c = F.col
+    enc, big = c("is_encrypted"), c("data_volume_up") > LARGE_UPLOAD
+    up, pattern_day = F.coalesce("data_volume_up", F.lit(0)), c("day_of_week").isin(tables.PATTERN_DAYS)
+    base = df.groupBy("subject").agg(
+        F.count(F.lit(1)).alias("sessions"), count_if(enc).alias("_enc"), count_if(enc & c("is_odd_hour")).alias("odd_encrypted"),
+        F.coalesce(F.sum(F.when(enc, c("total_data_volume"))), F.lit(0)).alias("_enc_bytes"),
+        F.sum(up).alias("_up"), F.coalesce(F.sum("data_volume_down"), F.lit(0)).alias("_down"), F.sum(F.when(pattern_day, up).otherwise(0)).alias("_day_up"),
+        count_if(big).alias("large_uploads"), count_if(big & c("detected_app").isin(tables.MESSENGER_APPS)).alias("_messenger"),
+        count_if(c("session_duration") > 7200).alias("marathons"), count_if(pattern_day).alias("_day_sessions"))
+    days = df.groupBy("subject", "day").agg(F.count(F.lit(1)).alias("_n"), F.sum("data_volume_up").alias("_day_bytes"))
+    w = Window.partitionBy("subject")
+    spike = (F.count(F.lit(1)).over(w) > 5) & (c("_day_bytes") > F.avg("_day_bytes").over(w) + 3 * F.stddev_samp("_day_bytes").over(w))
+    days = days.withColumn("_spike", spike).groupBy("subject").agg(F.max("_n").alias("max_daily"), count_if(c("_spike")).alias("_spikes"))
+    apps = df.groupBy("subject", "detected_app", "app_risk", "destination_port").agg(
+        F.count(F.lit(1)).alias("n"), count_if(c("is_odd_hour")).alias("odd"))
+    named = apps.groupBy("subject", "detected_app", "app_risk").agg(F.sum("n").alias("n"))
+    risky = named.groupBy("subject").agg(
+        count_if(c("app_risk").isin("HIGH", "CRITICAL") & c("detected_app").isNotNull()).alias("high_risk_apps"),
+        count_if(c("app_risk").isin("HIGH", "CRITICAL") & c("detected_app").isin(tables.ENCRYPTED_APPS)).alias("_enc_apps"))
+    unknown = apps.filter(c("detected_app").isNull() & c("destination_port").isNotNull()).groupBy("subject", "destination_port").agg(
+        F.sum("n").alias("n")).groupBy("subject").agg(count_if(c("n") >= 5).alias("unknown_ports"))
+    combos = app_transitions(df, tie=tie).groupBy("subject").agg(F.count(F.lit(1)).alias("_combos"))
+    odd_apps = df.filter(c("detected_app").isNotNull()).groupBy("subject", "detected_app").agg(
+        F.count(F.lit(1)).alias("n"), count_if(c("is_odd_hour")).alias("odd"), F.avg("total_data_volume").alias("m"), F.stddev_samp("total_data_volume").alias("s"))
+    odd_apps = odd_apps.filter((c("n") > 10) & ~F.coalesce(c("s") > c("m") * 2, F.lit(False)) & (c("odd") / c("n") > 0.5)).groupBy("subject").agg(F.count(F.lit(1)).alias("_odd_apps"))
+    peers = p2p(df).select("subject", (c("confidence") > 0).cast("int").alias("_p2p"))
+    out = _join([base, days, risky, unknown, combos, odd_apps, peers, rapid_counts(df, tie=tie).select("subject", "rapid"), concurrent_counts(df, tie=tie).select("subject", "pairs")])
+    out = out.fillna(0, ["unknown_ports", "_combos", "_odd_apps", "_p2p", "rapid", "pairs"])
+
+    share, odd = pct(c("_enc"), c("sessions")), pct(c("odd_encrypted"), c("_enc"))
+    flag = lambda *conds: reduce(lambda a, b: a + b, [F.coalesce(x, F.lit(False)).cast("int") for x in conds])
+    cap = lambda x, most=100: F.least(x, F.lit(most))
+    encryption = cap(points((share >= 80, 30), (share >= 60, 20), (share >= 40, 10)) + cap(c("_enc_apps") * 10, 20) + points((odd > 30, 20), (odd > 15, 10))
+                     + cap(flag(odd > 30, c("_enc_bytes") > LARGE_UPLOAD * 100) * 15, 30))
+    mb, day_up, n = c("_up") / MB, pct(c("_day_up"), c("_up")), c("large_uploads")
+    ratio = F.when(c("_down") > 0, c("_up") / c("_down")).otherwise(0.0)
+    data = cap(points((n >= 10, 25), (n >= 5, 15), (n >= 3, 10)) + points((mb >= 1000, 20), (mb >= 500, 10)) + points((day_up > 40, 20), (day_up > 25, 10))
+               + cap(c("_spikes") * 10, 20) + cap(flag(n > 5, day_up > 40, c("_messenger") > 3) * 15, 30))
+    m, rapid, pairs = c("marathons"), c("rapid"), cap(c("pairs"), 10)
+    session = cap(points((m >= 10, 20), (m >= 5, 10)) + points((rapid >= 20, 25), (rapid >= 10, 15)) + points((pairs >= 10, 25), (pairs >= 5, 15))
+                  + cap(flag(m > 5, rapid > 10, pairs > 5, pct(c("_day_sessions"), c("sessions")) > 40) * 15, 30) + points((c("max_daily") > 100, 10)))
+    r, u = c("high_risk_apps"), c("unknown_ports")
+    app = cap(points((r >= 3, 25), (r >= 1, 15)) + points((u >= 10, 20), (u >= 5, 10)) + cap(c("_combos") * 10, 20) + cap(c("_odd_apps") * 5, 15)
+              + cap(flag(c("_combos") > 0, c("_p2p") > 0) * 15, 30))
+    scored = out.select(
+        "subject", "sessions", share.alias("encrypted_pct"), "odd_encrypted", "large_uploads", ratio.alias("ratio"), "marathons", pairs.alias("concurrent_pairs"),
+        "high_risk_apps", "unknown_ports", *[x.cast("int").alias(f"{k}_score") for k, x in (("encryption", encryption), ("data", data), ("session", session), ("app", app))])
+    return scored.select("*", *[_levels(c(f"{k}_score")).alias(f"{k}_level") for k in ("encryption", "data", "session", "app")])
 
 
 def ipdr_risk(df: DataFrame, components: DataFrame | None = None, high: int = 70, medium: int = 40, low: int = 0,

@@ -33,11 +33,12 @@ def _format(path: str) -> str:
     return {"csv": "csv", "xlsx": "xlsx", "xls": "xlsx", "parquet": "parquet", "json": "json"}.get(tail, "")
 
 
-def _raw(spark: SparkSession, path: str, headers: Sequence[str], fmt: str | None) -> DataFrame:
-    """One path (file, folder or glob) with text columns and ``source_file``."""
+def _raw(spark: SparkSession, path: str, aliases: dict, required: Sequence[str] = (), fmt: str | None = None) -> DataFrame:
+    """One path (file, folder or glob) with ``source_file``."""
     fmt = fmt or _format(path)
     if fmt == "xlsx":
-        return read_xlsx(spark, path, headers)
+        headers = {a.lower().replace("_", " "): a for names in aliases.values() for a in names}  # one per name
+        return read_xlsx(spark, path, list(headers.values()), [aliases[r] for r in required])
     if fmt == "csv":
         df = spark.read.option("header", True).option("mode", "PERMISSIVE").csv(path)
     elif fmt == "json":
@@ -53,11 +54,10 @@ def _read_all(spark, paths, aliases, required, fmt) -> DataFrame | None:
     """Union of the readable paths that have the required columns; others are logged and skipped.
 
     Only metadata is looked at here.  A path may be a folder or glob with any number of files."""
-    headers = sorted({a for names in aliases.values() for a in names})
     good = []
     for path in _split(paths):
         try:
-            raw = _raw(spark, path, headers, fmt)
+            raw = _raw(spark, path, aliases, required, fmt)
         except (PySparkException, ValueError) as e:
             log.warning("skipped %s: %s", path, e)
             continue
@@ -66,7 +66,7 @@ def _read_all(spark, paths, aliases, required, fmt) -> DataFrame | None:
         if absent:
             log.warning("skipped %s: no column for %s", path, absent)
             continue
-        good.append(rename(raw, {**aliases, "source_file": ["source_file"]}))
+        good.append(rename(raw, {**aliases, "source_file": ["source_file"]}, merge=(fmt or _format(path)) == "xlsx"))
     return reduce(lambda a, b: a.unionByName(b), good) if good else None
 
 
@@ -91,8 +91,8 @@ def read_tower_dump(spark: SparkSession, path: str, fmt: str | None = None, **kw
     kind = fmt or _format(path)
     if kind not in ("csv", "xlsx", "parquet"):
         raise ValueError(f"unsupported file type: {path}")
-    headers = sorted({a for names in tables.TOWER_ALIASES.values() for a in names})
-    raw = rename(_raw(spark, path, headers, kind), {**tables.TOWER_ALIASES, "source_file": ["source_file"]})
+    raw = _raw(spark, path, tables.TOWER_ALIASES, fmt=kind)
+    raw = rename(raw, {**tables.TOWER_ALIASES, "source_file": ["source_file"]}, merge=kind == "xlsx")
     return normalize_tower(raw, **kw)
 
 
@@ -104,8 +104,7 @@ def read_tower_dumps(spark: SparkSession, paths: str | Sequence[str], fmt: str |
 
 def read_towers(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
     """Tower dimension from csv, xlsx, json or parquet; the coverage radius defaults to 1 km."""
-    headers = sorted({a for names in tables.TOWER_DIM_ALIASES.values() for a in names})
-    raw = rename(_raw(spark, path, headers, fmt), tables.TOWER_DIM_ALIASES)
+    raw = rename(_raw(spark, path, tables.TOWER_DIM_ALIASES, fmt=fmt), tables.TOWER_DIM_ALIASES, merge=(fmt or _format(path)) == "xlsx")
     number = lambda c: F.col(c).try_cast("double")
     return raw.select(
         F.trim(F.col("tower_id").cast("string")).alias("tower_id"), number("lat").alias("lat"), number("long").alias("long"),

@@ -54,10 +54,12 @@ def _cells(blob: bytes):
                 yield [out.get(j) for j in range(max(out) + 1)] if out else []
 
 
-def read_xlsx(spark: SparkSession, paths: str | Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """Text columns ``columns`` by header name (case ignored), plus ``source_file``.  Unreadable
-    workbooks give no rows."""
-    wanted = [c.strip().lower() for c in columns]
+def read_xlsx(spark: SparkSession, paths: str | Sequence[str], columns: Sequence[str], required: Sequence[Sequence[str]] = ()) -> DataFrame:
+    """Text columns ``columns`` by header name (case and underscores aside), plus ``source_file``.  Workbooks
+    that are unreadable, or lack all names of one of the ``required`` groups, give no rows."""
+    flat = lambda name: (name or "").strip().lower().replace("_", " ")
+    groups = [[flat(n) for n in g] for g in required]
+    wanted = [flat(c) for c in columns]
     layout = T.StructType([T.StructField(c, T.StringType()) for c in [*columns, "source_file"]])
 
     def parse(batches):
@@ -67,7 +69,9 @@ def read_xlsx(spark: SparkSession, paths: str | Sequence[str], columns: Sequence
             for path, blob in zip(pdf["path"], pdf["content"]):
                 try:
                     rows = _cells(blob)
-                    header = [(h or "").strip().lower() for h in next(rows)]
+                    header = [flat(h) for h in next(rows)]
+                    if any(not set(g) & set(header) for g in groups):
+                        continue
                     where = [header.index(w) if w in header else None for w in wanted]
                     chunk = []
                     for r in rows:
