@@ -511,7 +511,7 @@ def ipdr_overview(df: DataFrame, components: DataFrame | None = None, tie: Seque
     stack = lambda suffix: F.inline(F.array(*[F.struct(F.lit(n).alias("item"), F.col(n + suffix).cast("double").alias("value")) for n in names]))
     spiking = encryption_spikes(df).agg(F.count_distinct("subject").alias("n"))
     spikes = upload_spikes(df).groupBy("day").agg(F.count(F.lit(1)).alias("n"))
-    volume = df.agg((F.sum("data_volume_up") / F.sum("data_volume_down")).alias("v"))
+    volume = df.agg((F.sum(F.col("data_volume_up").cast("double")) / F.sum(F.col("data_volume_down").cast("double"))).alias("v"))
     longest = marathon_sessions(df, tie=tie).orderBy(F.desc("hours"), "subject", *tie).limit(5)
     parts = [
         apps.select(*row("app_sessions", F.col("app"), F.col("n"))),

@@ -93,14 +93,16 @@ def location_clusters(df: DataFrame, least: int = 5, hotspot: float = 20, k: int
 def near_areas(df: DataFrame, areas: DataFrame | None = None, km: float = 50, high_km: float = 20) -> DataFrame:
     """Nearest approach of a subject to each listed point within ``km``.
 
-    The point list is a constant of a few rows; a latitude band is tested before the distance.
+    Latitude is cut into strips as high as ``km``; a record meets the points of its own strip
+    and the two beside it, so this is an equi-join and the point list may be of any size.
     """
     if areas is None:
         areas = df.sparkSession.createDataFrame(tables.BORDER_AREAS, "area string, area_lat double, area_lon double")
-    rows = fixes(df).select("subject", "datetime", "lat", "lon")
-    band = F.abs(F.col("lat") - F.col("area_lat")) <= km / 110.0
+    strip = km / 110.0
+    rows = fixes(df).select("subject", "datetime", "lat", "lon", F.floor(F.col("lat") / strip).alias("_s"))
+    points = areas.withColumn("_s", F.explode(F.array(*[F.floor(F.col("area_lat") / strip) + d for d in (-1, 0, 1)])))
     km_col = haversine_km("lat", "lon", "area_lat", "area_lon")
-    near = rows.join(F.broadcast(areas), band).withColumn("km", km_col).filter(F.col("km") <= km)
+    near = rows.join(points, "_s").withColumn("km", km_col).filter(F.col("km") <= km)
     best = near.groupBy("subject", "area").agg(
         F.min(F.struct("km", "datetime", "lat", "lon")).alias("b"), F.count(F.lit(1)).alias("records"))
     return best.select("subject", "area", "records", F.col("b.km").alias("km"), F.col("b.datetime").alias("at"),

@@ -173,7 +173,7 @@ def ipdr_volume_quality(df: DataFrame) -> DataFrame:
     pieces = []
     for c in cols:
         pieces += [count_if(F.col(c) < 0).alias(f"{c}_neg"), F.min(c).alias(f"{c}_min"), F.max(c).alias(f"{c}_max"),
-                   F.avg(c).alias(f"{c}_mean"), (F.sum(c) / 1073741824.0).alias(f"{c}_gb")]
+                   F.avg(c).alias(f"{c}_mean"), (F.sum(F.col(c).cast("double")) / 1073741824.0).alias(f"{c}_gb")]
     return df.agg(*pieces).select(F.inline(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(f"{c}_neg").alias("negatives"), F.col(f"{c}_min").cast("double").alias("min"),
                  F.col(f"{c}_max").cast("double").alias("max"), F.col(f"{c}_mean").alias("mean"), F.col(f"{c}_gb").alias("total_gb"))
@@ -250,24 +250,41 @@ def tower_quality(df: DataFrame, lat: str = "lat", lon: str = "long") -> DataFra
         for i, (c, kind, _) in enumerate(checks)])))
 
 
-def tower_pattern_quality(df: DataFrame, tie: Sequence[str] = TIE) -> DataFrame:
-    """Members of duplicate groups, and whether record order is time order.
+def _time_order(df: DataFrame, tie: Sequence[str]) -> DataFrame:
+    """One row: whether times never go back in record order.
 
-    The order test compares neighbours inside ranges of the record id and the ranges with each
-    other, so it never sorts the table in one task.
-    """
+    Range partitions of the record id are walked where they lie; each gives one row with its
+    first and last time, and only these rows are compared with each other."""
+    rows = df.select(F.col(tie[0]).alias("id"), us("timestamp").alias("at"))
+    rows = rows.repartitionByRange("id").sortWithinPartitions("id")
+
+    def walk(batches):
+        import pandas as pd
+
+        first = last = None
+        low, good = None, True
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            at = pdf["at"]
+            good = good and at.is_monotonic_increasing and (last is None or at.iloc[0] >= last)
+            if first is None:
+                first, low = at.iloc[0], pdf["id"].iloc[0]
+            last = at.iloc[-1]
+        if first is not None:
+            yield pd.DataFrame([(low, first, last, good)], columns=["low", "first", "last", "good"])
+
+    parts = rows.mapInPandas(walk, "low bigint, first bigint, last bigint, good boolean")
+    across = Window.orderBy("low")  # one row per partition
+    jump = F.coalesce(F.lag("last").over(across) > F.col("first"), F.lit(False))
+    return parts.withColumn("_jump", jump).agg(F.coalesce(F.bool_and(F.col("good") & ~F.col("_jump")), F.lit(True)).alias("in_time_order"))
+
+
+def tower_pattern_quality(df: DataFrame, tie: Sequence[str] = TIE) -> DataFrame:
+    """Members of duplicate groups, and whether record order is time order."""
     groups = df.groupBy("timestamp", "mobile_number", "tower_id").agg(F.count(F.lit(1)).alias("n"))
     dups = groups.agg(F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("duplicate_members"))
-    block = F.floor(F.col(tie[0]) / 100_000)
-    w = Window.partitionBy("_b").orderBy(*tie)
-    rows = df.select(*tie, "timestamp", block.alias("_b"))
-    inside = rows.withColumn("_back", F.lag("timestamp").over(w) > F.col("timestamp")).groupBy("_b").agg(
-        F.coalesce(F.bool_or("_back"), F.lit(False)).alias("_bad"),
-        F.min_by("timestamp", tie[0]).alias("_first"), F.max_by("timestamp", tie[0]).alias("_last"))
-    across = Window.orderBy("_b")  # one row per block of 100,000 records
-    order = inside.withColumn("_jump", F.coalesce(F.lag("_last").over(across) > F.col("_first"), F.lit(False))).agg(
-        (~F.coalesce(F.bool_or(F.col("_bad") | F.col("_jump")), F.lit(False))).alias("in_time_order"))
-    return dups.withColumn("_k", F.lit(1)).join(order.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    return dups.withColumn("_k", F.lit(1)).join(_time_order(df, tie).withColumn("_k", F.lit(1)), "_k").drop("_k")
 
 
 def rapid_switching(df: DataFrame, secs: float = 60, tie: Sequence[str] = TIE) -> DataFrame:

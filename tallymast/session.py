@@ -42,12 +42,15 @@ def local_session(cores: int | str = 8, memory: str = "8g", **extra: str) -> Spa
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint of ``df`` in the shared folder named by ``spark.checkpoint.dir``.
 
-    Blocks on executors are lost with the executor, so nothing here is kept only
-    there.  A folder of our own is used solely where the session names none.
+    Blocks on executors are lost with the executor, so nothing here is kept only there.  A
+    folder of our own is used only in local mode, where one machine is all there is; a cluster
+    has to name a shared one.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if not context.getCheckpointDir():
         shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tallymast-checkpoint-"))
     return df.checkpoint(eager=True)

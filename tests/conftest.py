@@ -12,7 +12,7 @@ DATA = os.environ.get("TALLYMAST_DATA", "/root/testdata/sf0.001")
 
 @pytest.fixture(scope="session")
 def spark():
-    return local_session(8, "8g", **{"spark.sql.shuffle.partitions": "4"})
+    return local_session(8, "8g", **{"spark.sql.shuffle.partitions": "2"})
 
 
 @pytest.fixture(scope="session")
