@@ -125,8 +125,7 @@ def clean_tower(df: DataFrame) -> DataFrame:
 def normalize_tower(raw: DataFrame, dump_id: Column | None = None) -> DataFrame:
     """Canonical tower connections.  A missing timestamp is built from date and time.
 
-    The reference output is sorted by time; here every ordered operator sorts by itself, so
-    no global sort is paid."""
+    The result is not sorted: every ordered operator sorts by itself, so no global sort is paid."""
     stamp = F.coalesce(
         S.tower_timestamp(F.col("timestamp").cast("string")),
         S.tower_date_time(F.col("date").cast("string"), F.col("time").cast("string")),

@@ -25,15 +25,13 @@ def _one_row(df: DataFrame, totals: DataFrame) -> DataFrame:
 def colocation_edges(df: DataFrame, seconds: int = 300, least: int = 3) -> DataFrame:
     """Numbers at the same tower in the same tumbling bin; weight = number of such bins.
 
-    Exact pruning first: a number seen in fewer than ``least`` bins cannot have an edge and a
-    bin with one number cannot make one.  Crowded bins are paired block by block and the
-    counts are combined before the shuffle; no bin is left out.
+    Exact pruning first: a number seen in fewer than ``least`` bins cannot have an edge.
+    Crowded bins are paired block by block and the counts are combined before the shuffle; no
+    bin is left out.
     """
     cells = df.select("tower_id", bin_start("timestamp", seconds).alias("bin"), "mobile_number").distinct()
     enough = cells.groupBy("mobile_number").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least).select("mobile_number")
     cells = cells.join(enough, "mobile_number", "left_semi")
-    shared = cells.groupBy("tower_id", "bin").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("tower_id", "bin")
-    cells = cells.join(shared, ["tower_id", "bin"], "left_semi")
     pairs = block_pairs(cells, ["tower_id", "bin"], "mobile_number")
     return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("weight")).filter(F.col("weight") >= least)
 
