@@ -179,6 +179,20 @@ def _(v):
     return compose.report_sizes(compose.integrated_report(v.cdr, sess(v), v.tower_dump, lon="lon"))
 
 
-@check("J20_load_report")
+_TQ = ", ".join(f"('{n}', count(*) FILTER ({c}))" for n, c in [
+    ("timestamp.NULL", "timestamp IS NULL"), ("mobile_number.NULL", "mobile_number IS NULL"), ("tower_id.NULL", "tower_id IS NULL"), ("mobile_number.PATTERN", "length(mobile_number) <> 10"),
+    ("imei.PATTERN", "length(imei) <> 15"), ("imsi.PATTERN", "length(imsi) <> 15"), ("lat.RANGE", "lat NOT BETWEEN -90 AND 90"), ("lon.RANGE", "lon NOT BETWEEN -180 AND 180")])
+_FILLED = " + ".join(f"count({c})" for c in ("subject", "start_time", "end_time", "destination_port", "protocol", "data_volume_up", "data_volume_down"))
+
+
+@check("J20_load_report", f"""WITH {feat()}, g AS (SELECT count(*) AS n FROM ipdr GROUP BY subject, start_time, end_time, destination_port, protocol, data_volume_up, data_volume_down),
+q AS (SELECT 'ipdr' AS source, unnest([('encrypted', count(*) FILTER (enc)), ('quality.complete_pct', round(({_FILLED}) * 100.0 / (8 * count(*)), 4)), ('quality.duplicates', (SELECT sum(n - 1) FROM g)),
+ ('quality.duplicate_pct', round((SELECT sum(n - 1) * 100.0 / sum(n) FROM g), 4)), ('quality.ends_before_start', count(*) FILTER (end_us < us)), ('time.span_days', (max(us) - min(us)) // 86400000000),
+ ('time.future_rows', count(*) FILTER (us > 1706745600000000)), ('time.old_rows', count(*) FILTER (us < 1706745600000000 - 365 * 86400000000)), ('network.bad_ports', count(*) FILTER (destination_port NOT BETWEEN 1 AND 65535)),
+ ('network.bad_ips', 0), ('volume.data_volume_up_negatives', count(*) FILTER (data_volume_up < 0)), ('volume.data_volume_down_negatives', count(*) FILTER (data_volume_down < 0)),
+ ('records', count(*)), ('parties', count(DISTINCT subject))]) AS r FROM f),
+t AS (SELECT 'tower' AS source, unnest([('records', count(*)), ('parties', count(DISTINCT mobile_number)), {_TQ}]) AS r FROM tower_dump),
+c AS (SELECT 'cdr' AS source, unnest([('records', count(*)), ('parties', count(DISTINCT subject)), ('provider_messages', count(*) FILTER (is_provider_message))]) AS r FROM cdr)
+SELECT source, r[1] AS item, CAST(r[2] AS DOUBLE) AS value FROM q UNION ALL SELECT source, r[1], CAST(r[2] AS DOUBLE) FROM t UNION ALL SELECT source, r[1], CAST(r[2] AS DOUBLE) FROM c""")
 def _(v):
     return compose.load_report(v.cdr, sess(v), v.tower_dump, "2024-02-01 00:00:00", lon="lon")
