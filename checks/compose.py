@@ -117,7 +117,16 @@ def _(v):
     return compose.report_sizes(compose.coordination(v.cdr_dense, dense(v)))
 
 
-@check("J11_dossier")
+def melt(section, table, columns, names=None):
+    cells = ", ".join(f"CAST({c} AS VARCHAR)" for c in columns)
+    return f"SELECT '{section}' AS section, unnest({list(names or columns)}) AS item, unnest([{cells}]) AS value FROM {table} WHERE subject = '{PARTY}'"
+
+
+@check("J11_dossier", f"WITH RECURSIVE {JR} " + " UNION ALL ".join([
+    melt("calls", "patterns", ["total", "imei_count", "bursts", "voice_only", "contacts", "tower_count", "activity_change"]), melt("call_risk", "r2l", ["score", "level"]),
+    melt("sessions", "riskl", ["es", "ds", "ss", "sa", "score", "level"], ["encryption_score", "data_score", "session_score", "app_score", "score", "level"]),
+    melt("correlation", "kscore", ["call_to_data", "encrypted_after_call", "silences", "shifts", "score", "CASE WHEN score >= 70 THEN 'HIGH' WHEN score >= 40 THEN 'MEDIUM' ELSE 'LOW' END"],
+         ["call_to_data", "encrypted_after_call", "silences", "shifts", "score", "level"])]))
 def _(v):
     return compose.dossier(v.cdr, sess(v), PARTY)
 
