@@ -5,9 +5,10 @@ from pyspark.sql import functions as F
 from tallymast.operators import cdr, charts, correlate, network, risk
 
 from . import check
-from .cdr import PATTERNS
+from .cdr import _CAND, _CYCLES, _RING, PATTERNS
 from .cross import ALL, DENSE, K9, K12, both, sess
 from .ipdr import feat
+from .location_network import _CLUST, _STEPS
 from .movement import corr_sql
 
 R3 = """r3 AS (SELECT *, CASE WHEN imei_count >= 3 THEN 40 WHEN imei_count = 2 THEN 25 ELSE 0 END + CASE WHEN odd_pct > 3 THEN 25 WHEN odd_pct > 1 THEN 15 ELSE 0 END + CASE WHEN voice_only THEN 20 WHEN voice_pct > 90 THEN 10 ELSE 0 END
@@ -108,24 +109,35 @@ def _flags(v):
     return risk.flag_rows(v.cdr, cycles=cdr.call_cycles(cdr.distinct_links(v.cdr, 3)), sync=network.synchronized(v.cdr))
 
 
-@check("R9_flag_rows")
+_on_calls = lambda text: text.replace("calls_dense", "calls")
+FLAGS = f"""{_CYCLES}, {_on_calls(_RING)}, {_on_calls(_STEPS)}, {_CLUST}, {_on_calls(_CAND)}, picks AS (
+  SELECT c.subject, c.rn, c.calls, 1 AS n FROM cand c WHERE c.rn = (SELECT min(rn) FROM cand x WHERE x.subject = c.subject)
+  UNION ALL SELECT c.subject, c.rn, c.calls, p.n + 1 FROM picks p JOIN cand c ON c.subject = p.subject AND p.n < 5 AND c.rn = (SELECT min(rn) FROM cand x WHERE x.subject = p.subject AND x.rn >= p.rn + p.calls)),
+sy AS (SELECT subject, len(list_distinct(list(subject) OVER (ORDER BY us RANGE BETWEEN CURRENT ROW AND 300000000 FOLLOWING))) AS n FROM calls),
+gp AS (SELECT subject, us, lead(us) OVER (PARTITION BY subject ORDER BY us, event_id) AS nx FROM calls),
+d AS (SELECT subject, count(DISTINCT imei) AS i, count(DISTINCT imsi) AS m, count(*) FILTER (hour(datetime) < 5) * 100.0 / count(*) AS o, count(*) FILTER (dayname(datetime) IN ('Tuesday', 'Friday')) * 100.0 / count(*) AS w,
+ count(*) FILTER (call_type LIKE 'CALL%') AS vc, count(*) FILTER (call_type LIKE 'SMS%') AS sm FROM calls GROUP BY 1),
+rp AS (SELECT DISTINCT subject FROM (SELECT subject, duration_seconds FROM calls WHERE call_type LIKE 'CALL%' GROUP BY ALL HAVING count(*) > 5)),
+dm AS (SELECT DISTINCT subject FROM (SELECT subject, b_party, count(*) AS n FROM calls GROUP BY ALL) JOIN tot USING (subject) WHERE n * 100.0 / total > 30), lo AS (SELECT DISTINCT unnest(m) AS subject FROM cyc),
+tl AS (SELECT d.subject, sm = 0 AND vc > 10 AS vo, d.subject IN (FROM lo) AS lp, vc * 100.0 / (vc + sm) > 90 AS vh, d.subject IN (FROM dm) AS dc, signalling AS sg FROM d JOIN ring USING (subject)),
+fl AS (SELECT 'device' AS family, 'DEVICE_LEVEL' AS flag, CASE WHEN i >= 3 THEN 'HIGH' ELSE 'MEDIUM' END AS level, subject FROM d WHERE i >= 2 UNION ALL SELECT 'device', 'SIM_SWAP', 'NONE', subject FROM d WHERE m > 1
+ UNION ALL SELECT 'temporal', 'ODD_HOURS', CASE WHEN o > 3 THEN 'HIGH' ELSE 'MEDIUM' END, subject FROM d WHERE o > 1 UNION ALL SELECT 'temporal', 'DAY_CONCENTRATION', CASE WHEN w > 40 THEN 'HIGH' ELSE 'MEDIUM' END, subject FROM d WHERE w > 25
+ UNION ALL SELECT 'temporal', 'MANY_BURSTS', 'NONE', subject FROM picks GROUP BY 4 HAVING count(*) > 3 UNION ALL SELECT DISTINCT 'temporal', 'SILENCE', 'NONE', subject FROM gp WHERE nx - us > 48 * 3600000000
+ UNION ALL SELECT 'communication', 'COMMUNICATION_LEVEL', CASE WHEN vo OR lp THEN 'HIGH' ELSE 'MEDIUM' END, subject FROM tl WHERE vo OR lp OR vh OR dc OR sg UNION ALL SELECT 'communication', 'VOICE_ONLY', 'NONE', subject FROM tl WHERE vo
+ UNION ALL SELECT 'communication', 'REPEATED_DURATIONS', 'NONE', subject FROM rp UNION ALL SELECT 'communication', 'DOMINANT_CONTACT', 'NONE', subject FROM tl WHERE dc
+ UNION ALL SELECT 'communication', 'LOOPS', 'NONE', subject FROM tl WHERE lp UNION ALL SELECT 'communication', 'SIGNALLING', 'NONE', subject FROM tl WHERE sg
+ UNION ALL SELECT DISTINCT 'location', 'IMPOSSIBLE_TRAVEL', 'NONE', subject FROM st WHERE sec > 0 AND km > 0.1 AND km * 3600 / sec > 200 UNION ALL SELECT DISTINCT 'location', 'CLUSTERS', 'NONE', subject FROM cl
+ UNION ALL SELECT DISTINCT 'network', 'COORDINATED', 'NONE', subject FROM sy WHERE n >= 3)"""
+
+
+@check("R9_flag_rows", f"WITH RECURSIVE {FLAGS} SELECT * FROM fl")
 def _(v):
     return _flags(v)
 
 
-@check("R9_flag_summary", """
-WITH s AS (SELECT us, subject, len(list_distinct(list(subject) OVER (ORDER BY us RANGE BETWEEN CURRENT ROW AND 300000000 FOLLOWING))) AS n FROM calls),
-d AS (SELECT subject, count(DISTINCT imei) AS i, count(DISTINCT imsi) AS m, count(*) FILTER (hour(datetime) < 5) * 100.0 / count(*) AS o, count(*) FILTER (dayname(datetime) IN ('Tuesday', 'Friday')) * 100.0 / count(*) AS w,
- count(*) FILTER (call_type LIKE 'SMS%') = 0 AND count(*) > 10 AS vo FROM calls GROUP BY 1)
-SELECT 'device' AS family, 'DEVICE_LEVEL' AS flag, CASE WHEN i >= 3 THEN 'HIGH' ELSE 'MEDIUM' END AS level, count(*) AS subjects FROM d WHERE i >= 2 GROUP BY 3
-UNION ALL SELECT 'device', 'SIM_SWAP', 'NONE', count(*) FROM d WHERE m > 1
-UNION ALL SELECT 'temporal', 'ODD_HOURS', CASE WHEN o > 3 THEN 'HIGH' ELSE 'MEDIUM' END, count(*) FROM d WHERE o > 1 GROUP BY 3
-UNION ALL SELECT 'temporal', 'DAY_CONCENTRATION', CASE WHEN w > 40 THEN 'HIGH' ELSE 'MEDIUM' END, count(*) FROM d WHERE w > 25 GROUP BY 3
-UNION ALL SELECT 'communication', 'VOICE_ONLY', 'NONE', count(*) FROM d WHERE vo
-UNION ALL SELECT 'network', 'COORDINATED', 'NONE', count(DISTINCT subject) FROM s WHERE n >= 3""")
-def _(v):
-    wanted = F.col("flag").isin("DEVICE_LEVEL", "SIM_SWAP", "ODD_HOURS", "DAY_CONCENTRATION", "VOICE_ONLY", "COORDINATED")
-    return risk.flag_summary(_flags(v).filter(wanted))
+@check("R9_flag_summary", f"WITH RECURSIVE {FLAGS} SELECT family, flag, level, count(*) AS subjects FROM fl GROUP BY 1, 2, 3")
+def _(v):
+    return risk.flag_summary(_flags(v))
 
 
 # -- chart data sets ---------------------------------------------------------------------
