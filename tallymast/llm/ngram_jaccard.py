@@ -9,9 +9,10 @@ The global order of all n-grams (ascending document frequency, then hash) is cut
    in the global order.  Equal sets become one node, so copies cost nothing from here on.
 4. Candidate pairs get their overlap counted per fragment and summed per pair, which is exact.
 
-Only components are asked for, so not all pairs of a dense group are needed: in the first rounds a
+Only components are asked for, so not all pairs of a dense group are needed: in the first round a
 node is tried with one hub it shares most prefix n-grams with, links are contracted, and only n-grams
-whose documents lie in different components stay.  The last round tries every remaining pair of
+whose documents lie in different components stay.  The next rounds try those outside the main
+component of an n-gram with a few nodes inside.  The last round tries every remaining pair of
 nodes that share a prefix n-gram and lie in different components, so that no link can be missed.
 """
 
@@ -23,7 +24,7 @@ from fractions import Fraction
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallymast.operators.graph import components
@@ -34,8 +35,11 @@ from .common import stored
 CHUNK_CHARS, CHUNK_DOCS = 1_500_000, 60_000
 #: Characters of the corpus behind one fragment; fragments, at least and at most.
 FRAGMENT_CHARS, FEWEST, MOST = 15_000_000, 64, 65_536
-#: Rounds that try hubs before the exhaustive one.
-HUB_ROUNDS = 2
+#: Nodes of its main component that a node outside is tried with, in the rounds between the first and
+#: the exhaustive one.
+HUBS = (8,)
+#: 64-bit words of the bitmap of a set, a power of two.
+WORDS = 16
 #: Pieces into which the overlap of a pair is cut.
 PIECES = 4
 
@@ -197,20 +201,23 @@ def _gathered(least: Fraction):
         tokens, index, level = tokens[keep], index[keep], level[keep]
         order = np.lexsort((tokens, level, index))
         pieces = np.split(tokens[order], np.cumsum(np.bincount(index, minlength=k))[:-1])
-        return pd.DataFrame({"doc_id": pd.array(ids, "Int64").astype(object).where(known == 1, None) if not known.all() else ids, "n_shingles": n, "node": names, "shared": [p if ok else None for p, ok in zip(pieces, can, strict=True)]})
+        bits = np.zeros((k, WORDS), np.uint64)
+        np.bitwise_or.at(bits, (index, tokens >> 6 & WORDS - 1), np.uint64(1) << (tokens & 63).astype(np.uint64))
+        return pd.DataFrame({"doc_id": pd.array(ids, "Int64").astype(object).where(known == 1, None) if not known.all() else ids, "n_shingles": n, "node": names, "shared": [p if ok else None for p, ok in zip(pieces, can, strict=True)], "bits": [b if ok else None for b, ok in zip(bits.view(np.int64), can, strict=True)]})
 
     return gather
 
 
 def shared_ngrams(docs: DataFrame, width: int = 5, least: Fraction = Fraction(3, 4)) -> DataFrame:
-    """(doc_id, n_shingles, node, shared) of every row: set size, name of the set (null if empty), and
-    its n-grams that other documents have too, in global order, where these suffice for a link."""
+    """(doc_id, n_shingles, node, shared, bits) of every row: set size, name of the set (null if empty),
+    its n-grams that other documents have too, in global order, where these suffice for a link, and a
+    bitmap of them."""
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     fragments = int(min(MOST, max(FEWEST, chars // FRAGMENT_CHARS)))
     packed = "fragment int, batch long, ngrams binary, rows binary"
     sent = docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(_sent(fragments, width), packed)
     back = sent.groupBy("fragment").applyInPandas(_shared, packed)
-    return back.groupBy("batch").applyInPandas(_gathered(least), "doc_id long, n_shingles long, node binary, shared array<long>")
+    return back.groupBy("batch").applyInPandas(_gathered(least), "doc_id long, n_shingles long, node binary, shared array<long>, bits array<long>")
 
 
 def _enough(overlap, a, b, least: Fraction):
@@ -235,33 +242,45 @@ def _ordered(a: str, b: str):
 
 
 def link_components(sets: DataFrame, least: Fraction = Fraction(3, 4)) -> DataFrame:
-    """(node, component) of the nodes with a link, from ``sets`` (node, n, shared)."""
+    """(node, component) of the nodes with a link, from ``sets`` (node, n, shared, bits)."""
     prefix = F.col("n") - F.ceil(F.col("n") * least.numerator / least.denominator) + 1 - (F.col("n") - F.size("shared"))
     postings = sets.select("node", "n", F.size("shared").alias("s"), F.posexplode(F.slice("shared", F.lit(1), F.greatest(prefix, F.lit(0)).cast("int"))).alias("k", "ngram"))
-    postings = postings.select("ngram", "node", "n", (F.col("n") - F.col("s") + F.col("k")).cast("int").alias("pos"), F.col("node").alias("component"))
+    own = (F.col("n") - F.col("s")).cast("int")  # n-grams no other document has, which come first in the order
+    postings = postings.select("ngram", "node", "n", (own + F.col("k")).cast("int").alias("pos"), own.alias("own"), F.col("node").alias("component"))
     several = lambda p: p.groupBy("ngram").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("ngram")
     postings = stored(postings.join(several(postings), "ngram", "left_semi"), "postings")
     edges = None
-    for turn in range(HUB_ROUNDS + 1):
-        if turn < HUB_ROUNDS:
-            hubs = postings.groupBy("ngram").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "n", "component")).alias("hub"))
-            met = postings.join(hubs, "ngram").where((F.col("component") != F.col("hub.component")) & _enough(F.least("n", "hub.n"), F.col("n"), F.col("hub.n"), least))
+    for turn, hubs_tried in enumerate((1, *HUBS, None)):
+        if hubs_tried == 1:
+            # the node with the smallest share of n-grams of its own is the likeliest centre of a group
+            hubs = postings.groupBy("ngram").agg(F.min(F.struct(F.col("own") / F.col("n"), "node", "n")).alias("hub"))
+            met = postings.join(hubs, "ngram").where((F.col("node") != F.col("hub.node")) & _enough(F.least("n", "hub.n"), F.col("n"), F.col("hub.n"), least))
             best = met.groupBy("node", F.col("hub.node").alias("other")).count().groupBy("node").agg(F.max_by("other", F.struct("count", "other")).alias("other"))
             pairs = best.select(*_ordered("node", "other")).distinct()
         else:
             counts = postings.groupBy("ngram", "component").count()
-            main = counts.groupBy("ngram").agg(F.max_by("component", F.struct("count", "component")).alias("main"))
-            rest = postings.join(main, "ngram").where("component <> main")
-            pair = rest.alias("x").join(postings.alias("y"), "ngram").where("x.component <> y.component")
+            main = counts.groupBy("ngram").agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.sum("count").alias("all"))
+            held = postings.join(main, "ngram").join(sets.select("node", "bits", F.size("shared").alias("s")), "node")
+            rest, others = held.where("component <> main"), held
+            if hubs_tried:
+                many = F.col("all") > 2 * hubs_tried  # smaller groups are left to the last turn, which tries all their pairs
+                first = F.row_number().over(Window.partitionBy("ngram").orderBy(F.xxhash64("node", F.lit(turn)), "node"))
+                rest, others = rest.where(many), held.where(many & (F.col("component") == F.col("main"))).withColumn("first", first).where(F.col("first") <= hubs_tried)
+            pair = rest.alias("x").join(others.alias("y"), "ngram").where("x.component <> y.component")
             low, tail = F.least("x.pos", "y.pos"), F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
-            pair = pair.where(_enough(F.least("x.n", "y.n"), F.col("x.n"), F.col("y.n"), least) & _enough(low + tail, F.col("x.n"), F.col("y.n"), least))
+            # every bit that differs is an n-gram of one set only
+            differ = sum((F.bit_count(F.col("x.bits")[k].bitwiseXOR(F.col("y.bits")[k])) for k in range(1, WORDS)), F.bit_count(F.col("x.bits")[0].bitwiseXOR(F.col("y.bits")[0])))
+            for most in (F.least("x.n", "y.n"), low + tail, (F.col("x.s") + F.col("y.s") - differ) / 2):
+                pair = pair.where(_enough(most, F.col("x.n"), F.col("y.n"), least))
             pairs = pair.select(*_ordered("x.node", "y.node")).distinct()
         found = stored(linked(pairs, sets, least), "links")
+        if turn and found.isEmpty():
+            continue
         edges = found if edges is None else edges.unionByName(found)
-        grouped = components(edges)
-        if turn < HUB_ROUNDS:
+        grouped = stored(components(edges), "components")
+        if hubs_tried:
             moved = postings.drop("component").join(grouped, "node", "left").withColumn("component", F.coalesce("component", "node"))
-            postings = stored(moved.join(several(moved), "ngram", "left_semi").select("ngram", "node", "n", "pos", "component"), "postings")
+            postings = stored(moved.join(several(moved), "ngram", "left_semi").select("ngram", "node", "n", "pos", "own", "component"), "postings")
     return grouped
 
 
@@ -275,7 +294,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, least: Fraction = Fraction(
     """
     least = Fraction(least)
     rows = stored(shared_ngrams(docs, width, least), "ngrams")
-    sets = stored(rows.where("shared is not null").groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("shared").alias("shared")), "sets")
+    sets = stored(rows.where("shared is not null").groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("shared").alias("shared"), F.first("bits").alias("bits")), "sets")
     grouped = link_components(sets, least)
     nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("low"))
     named = nodes.join(grouped, "node", "left").withColumn("component", F.coalesce("component", "node"))
