@@ -305,10 +305,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, least: Fraction = Fraction(
 
 
 def keep_one(docs: DataFrame, width: int = 5, least: Fraction = Fraction(3, 4)) -> DataFrame:
-    """The rows of ``docs`` that name their component (its smallest doc_id), with all their columns.
-    Rows that repeat a kept doc_id are dropped but one; rows without an id are kept if nothing with
-    an id is linked to them."""
-    found = near_duplicates(docs, width, least)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    some = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
-    return some.dropDuplicates(["doc_id"])
+    """The rows of ``docs`` that name their component (its smallest doc_id), with all their columns, and
+    one row only where an id is repeated.  A row without an id can name nothing and stays as it is."""
+    found = near_duplicates(docs.where("doc_id is not null"), width, least)
+    kept = found.where("doc_id = component_id").select("doc_id").distinct()
+    one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return one.unionByName(docs.where("doc_id is null"))

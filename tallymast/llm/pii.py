@@ -9,7 +9,6 @@ with the CRF's transitions settles what the windows disagree on.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -374,9 +373,8 @@ def digest(spans_column: str | Column) -> list[Column]:
     c = F.col(spans_column) if isinstance(spans_column, str) else spans_column
     base = F.filter(c, lambda s: s["base"])
     text = lambda x: F.array_join(F.transform(x, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ",")
-    counts = [F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
-    return [*counts, F.sha2(text(base), 256).alias("base_sha256"), text(c).alias("spans")]
 
+    def count(kind: str) -> Column:
+        return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
-def sha256(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()
+    return [*map(count, KINDS), F.sha2(text(base), 256).alias("base_sha256"), text(c).alias("spans")]

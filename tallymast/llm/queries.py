@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ngram_jaccard, quality
+from . import decontaminate, ngram_jaccard, pii, quality, sentencepiece
 from .common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,16 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op1_sentencepiece")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    """Token ids of every document, and whether decoding them gives the text back."""
+    pieces = sentencepiece.Pieces.load()
+    docs = table(spark, folder, "documents", "doc_id", "text")
+    tokens = docs.select("doc_id", "text", sentencepiece.encoded("text", pieces).alias("token_ids"))
+    back = sentencepiece.decoded("token_ids", pieces) == F.coalesce("text", F.lit(""))
+    return tokens.select("doc_id", F.size("token_ids").alias("n_tokens"), back.alias("round_trip"), "token_ids")
+
+
 @query("op4_quality")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents", "doc_id", "text")
@@ -48,3 +58,15 @@ FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT x AS doc_id, min(y) AS
 @query("op9_ngram_jaccard", OP9_SQL)
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_jaccard.near_duplicates(table(spark, folder, "documents", "doc_id", "text"))
+
+
+@query("op7_decontamination")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "benchmark"))
+
+
+@query("op10_pii")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents", "doc_id", "text")
+    found = docs.select("doc_id", pii.spans("text", pii.fit(docs)).alias("found"))
+    return found.select("doc_id", *pii.digest("found"))

@@ -1,10 +1,11 @@
 """SentencePiece encoding and decoding by suffix-array matching.
 
-A batch of texts is cut into stretches that no piece crosses (a space and what follows it), and
-every stretch seen for the first time goes into one indexed text.  Its suffix array is built by
+A batch of texts is cut where two neighbouring characters lie together in no piece, as no piece and
+no merge crosses such a place, and every stretch a worker has not seen goes into one indexed text.  Its suffix array is built by
 prefix doubling, up to the length of the longest piece; all pieces are binary-searched in it at
 once, which gives the range of suffixes each occurs at.  The occurrences are the edges of a graph
-over positions: sorted by position, they are relaxed from left to right.
+over positions: sorted by position, they are relaxed from left to right, one position of all
+stretches at a time.
 
 The vocabulary files are of the BPE kind, where the best path is not a sum of scores but the path on
 which merging would end.  Relaxing uses that such a path is made of compatible neighbours: an edge
@@ -15,7 +16,6 @@ the unigram kind is relaxed by the sum of scores instead.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,9 +28,11 @@ from pyspark.sql import functions as F
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 NORMAL, UNKNOWN, BYTE, UNIGRAM, BPE = 1, 2, 6, 1, 2
-#: Stretches a worker remembers, and merges of two pieces.
+#: Stretches a worker remembers, about.
 REMEMBERED = 400_000
 
+_PREPARED: dict[int, dict] = {}
+
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
     """(number, value) of the fields of a protocol-buffer message."""
@@ -88,46 +90,99 @@ class Pieces:
         return out
 
     def prepared(self) -> Pieces:
-        """Lookup tables, made once per worker."""
+        """Lookup tables, made once per worker and shared by its tasks."""
         if not hasattr(self, "ids"):
-            self.ids = {p: i for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True)) if k == NORMAL}
-            self.byte_ids = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True)) if k == BYTE}
-            self.unknown = next((i for i, k in enumerate(self.kinds) if k == UNKNOWN), 0)
-            self.longest = max(map(len, self.ids))
-            # no piece holds a space after another character, so no path crosses such a place
-            self.cut = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+") if not any(SPACE in p.lstrip(SPACE) for p in self.ids) else re.compile("(?s).+")
-            self.known, self.merged = {}, {}
+            key = hash((tuple(self.pieces), tuple(self.scores), self.model, self.dummy_prefix))
+            if key not in _PREPARED:
+                _PREPARED[key] = self._tables()
+            self.__dict__.update(_PREPARED[key], key=key)
         return self
 
-    def merges(self, text: str) -> list[str]:
-        """Pieces that merging leaves of a short text: always the best-scored neighbours, from the left."""
+    def _tables(self) -> dict:
+        named = list(zip(self.pieces, self.kinds, strict=True))
+        ids = {p: i for i, (p, k) in enumerate(named) if k == NORMAL}
+        inner = sorted({c for p in ids if len(p) > 1 for c in p})
+        place = np.zeros(0x110000, np.int16)  # characters of longer pieces, numbered from 1
+        place[[ord(c) for c in inner]] = np.arange(1, len(inner) + 1)
+        joined = np.zeros((len(inner) + 1, len(inner) + 1), bool)
+        for p in ids:
+            codes = place[[ord(c) for c in p]]
+            joined[codes[:-1], codes[1:]] = True
+        # when merging makes a piece: single characters are there from the start
+        by_score = sorted((i for p, i in ids.items() if len(p) > 1), key=lambda i: (-self.scores[i], i))
+        born = {self.pieces[i]: k + 1 for k, i in enumerate(by_score)} | {p: 0 for p in ids if len(p) == 1}
+        return {
+            "ids": ids, "byte_ids": {int(p[3:5], 16): i for i, (p, k) in enumerate(named) if k == BYTE}, "unknown": next((i for i, k in enumerate(self.kinds) if k == UNKNOWN), 0),
+            "all": list(ids), "length": np.array([0, *map(len, ids)], np.int64), "number_to_id": np.array([-1, *ids.values()], np.int64), "place": place, "joined": joined, "born": born, "halves": {}, "known": {}, "pair_keys": np.zeros(0, np.int64), "pair_fit": np.zeros(0, bool),
+        }
+
+    def stretches(self, text: str) -> list[str]:
+        """The text cut where its neighbours are together in no piece."""
+        codes = self.place[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+        cuts = [0, *(np.flatnonzero(~self.joined[codes[:-1], codes[1:]]) + 1).tolist(), len(text)]
+        return [text[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+    def merges(self, text: str, least: int = 1) -> list[str]:
+        """What merging leaves of a short text: always the neighbours whose joint piece scores best, from
+        the left, until ``least`` parts are left or nothing merges."""
         parts = list(text)
-        while len(parts) > 1:
-            best = max(((self.scores[i], -k) for k in range(len(parts) - 1) if (i := self.ids.get(parts[k] + parts[k + 1])) is not None), default=None)
+        while len(parts) > least:
+            best = min(((b, k) for k in range(len(parts) - 1) if (b := self.born.get(parts[k] + parts[k + 1])) is not None), default=None)
             if best is None:
                 break
-            k = -best[1]
+            k = best[1]
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
         return parts
 
-    def compatible(self, a: str, b: str) -> bool:
-        key = a, b
-        got = self.merged.get(key)
+    def split(self, piece: str) -> list[str]:
+        """The two parts whose merge makes a piece; a piece that merging cannot make has more."""
+        got = self.halves.get(piece)
         if got is None:
-            if len(self.merged) > REMEMBERED:
-                self.merged.clear()
-            got = self.merged[key] = self.merges(a + b) == [a, b]
+            got = self.halves[piece] = self.merges(piece, 2)
         return got
 
-    # -- suffix array ------------------------------------------------------------------------------
+    def compatible(self, a: str, b: str) -> bool:
+        """Whether merging leaves ``a`` and ``b``, side by side, as they are.
+
+        Time runs backwards: whichever of the two was made last is split, and what then touches the
+        seam must not merge across it before the time of that split (on equal time the left goes
+        first, so ``b`` loses to a merge across and ``a`` wins)."""
+        born, limit = self.born, float("inf")
+        for p in (a, b):
+            if len(p) > 1 and len(self.split(p)) != 2:
+                return self.merges(a + b) == [a, b]
+        while True:
+            across = born.get(a + b)
+            if across is not None and across < limit:
+                return False
+            if born[a] > born[b]:
+                limit, a = born[a], self.split(a)[1]
+            elif born[b]:
+                limit, b = born[b] + 0.5, self.split(b)[0]
+            else:
+                return True
+
+    def fitting(self, before: np.ndarray, piece: np.ndarray) -> np.ndarray:
+        """Which pairs of pieces are compatible; what is new is worked out and kept."""
+        n, pieces = len(self.length), self.all
+        keys = before * n + piece
+        asked = np.unique(keys)
+        at = np.minimum(np.searchsorted(self.pair_keys, asked), max(0, len(self.pair_keys) - 1))
+        fresh = asked[self.pair_keys[at] != asked] if len(self.pair_keys) else asked
+        if len(fresh):
+            fit = np.array([self.compatible(pieces[k // n - 1], pieces[k % n - 1]) for k in fresh.tolist()], bool)
+            both = np.concatenate((self.pair_keys, fresh))
+            order = np.argsort(both, kind="stable")
+            self.pair_keys, self.pair_fit = both[order], np.concatenate((self.pair_fit, fit))[order]
+            _PREPARED[self.key].update(pair_keys=self.pair_keys, pair_fit=self.pair_fit)
+        return self.pair_fit[np.searchsorted(self.pair_keys, keys)]
 
-    def ranges(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
-        """(suffix array, first and one past the last place of every piece in it, the pieces).
+    # -- suffix array ------------------------------------------------------------------------------
 
-        ``rank[h]`` orders the suffixes by their first 2**h characters.  A piece is searched by the
-        binary digits of its length: its first 2**h characters lie in one class of ``rank[h]``, and
-        inside that class the suffixes are ordered by what comes after."""
-        pieces = [p for p in self.ids if len(p) <= len(codes)]
+    def ranges(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The suffix array, sorted to the length of the longest piece, and the first and one past the
+        last place of every piece in it."""
+        pieces = self.all
         lengths = np.array([len(p) for p in pieces])
         width = int(lengths.max())
         depth = max(0, (width - 1).bit_length())
@@ -163,77 +218,78 @@ class Pieces:
                 right = (less | same if past else less) & open_
                 lo, hi = np.where(right, mid + 1, lo), np.where(open_ & ~right, mid, hi)
             bounds.append(lo)
-        return order, bounds[0], bounds[1], pieces
+        return order, bounds[0], bounds[1]
 
-    def edges(self, text: str) -> tuple[np.ndarray, np.ndarray, list[str]]:
-        """(end, index of the piece) of every occurrence, sorted by end, and the pieces."""
-        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-        order, lo, hi, pieces = self.ranges(codes)
+    def edges(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(end, number of the piece from 1) of every occurrence of a piece."""
+        order, lo, hi = self.ranges(codes)
         count = hi - lo
-        which = np.repeat(np.arange(len(pieces)), count)
-        start = order[np.repeat(lo - np.cumsum(count) + count, count) + np.arange(len(which))]
-        end = start + np.array([len(p) for p in pieces])[which]
-        sort = np.lexsort((which, end))
-        return end[sort], which[sort], pieces
+        number = np.repeat(np.arange(len(count)), count) + 1
+        start = order[np.repeat(lo - np.cumsum(count) + count, count) + np.arange(len(number))]
+        return start + self.length[number], number
 
     # -- relaxing ----------------------------------------------------------------------------------
 
     def learn(self, stretches: list[str]) -> None:
-        """Encode stretches not seen before, all from one index; a character that no piece holds
-        separates them in it."""
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        if not stretches:
-            return
-        # U+10FFFF is a noncharacter: a stretch that holds it still gets its bytes below
-        end, which, pieces = self.edges("\U0010ffff".join(stretches))
-        place = np.cumsum([0] + [len(s) + 1 for s in stretches])
-        bounds = np.searchsorted(end, place, "right")
-        ends, whiches = end.tolist(), which.tolist()
-        for k, s in enumerate(stretches):
-            self.known[s] = self.relax(s, [(ends[e] - int(place[k]), pieces[whiches[e]]) for e in range(bounds[k], bounds[k + 1])])
-
-    def relax(self, s: str, edges: list[tuple[int, str]]) -> list[int]:
-        best: list[tuple[float, str] | None] = [None] * (len(s) + 1)
-        best[0] = 0.0, ""
-        at, k = 1, 0
-        while at <= len(s):
-            while k < len(edges) and edges[k][0] <= at:
-                end, piece = edges[k]
-                k += 1
-                before = best[end - len(piece)] if end == at else None
-                if before is None:
-                    continue
-                if self.model == BPE:
-                    if not before[1] or self.compatible(before[1], piece):
-                        best[at] = 0.0, piece
-                else:
-                    total = before[0] + self.scores[self.ids[piece]]
-                    if best[at] is None or total > best[at][0]:
-                        best[at] = total, piece
-            if best[at] is None and s[at - 1] not in self.ids and best[at - 1] is not None:
-                best[at] = best[at - 1][0] - 100.0, s[at - 1]  # a character without a piece
-            at += 1
-        out: list[int] = []
-        at = len(s)
-        while at:
-            piece = best[at][1]
-            i = self.ids.get(piece)
-            if i is not None:
-                out.append(i)
-            elif self.byte_ids:
-                out += [self.byte_ids[b] for b in reversed(piece.encode("utf-8", "replace"))]
-            else:
-                out.append(self.unknown)
-            at -= len(piece)
-        return out[::-1]
+        """Encode stretches not seen before, all from one index, where U+10FFFF stands between them."""
+        codes = np.frombuffer("\U0010ffff".join(stretches).encode("utf-32-le", "surrogatepass"), np.uint32)
+        end, piece = self.edges(codes)
+        size = np.fromiter(map(len, stretches), np.int64, len(stretches))
+        first = np.cumsum(size + 1) - size - 1
+        # characters that no piece stands for get an edge of their own, number 0
+        bare = np.ones(len(codes) + 1, bool)
+        bare[end[self.length[piece] == 1]] = bare[0] = bare[first] = False
+        end, piece = np.concatenate((end, np.flatnonzero(bare))), np.concatenate((piece, np.zeros(bare.sum(), np.int64)))
+        place = end - first[np.searchsorted(first, end - 1, "right") - 1]
+        order = np.lexsort((piece, place))
+        end, piece = end[order], piece[order]
+        start = end - np.where(piece > 0, self.length[piece], 1)
+        bounds = np.searchsorted(place[order], np.arange(1, int(size.max()) + 2))
+        # the piece that ends the path to a position: -1 without a path, -2 where a stretch begins
+        last, total = np.full(len(codes) + 1, -1, np.int64), np.zeros(len(codes) + 1)
+        last[first] = -2
+        worth = np.array([-100.0, *(self.scores[i] for i in self.number_to_id[1:])])
+        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+            before = last[start[a:b]]
+            ok = before != -1
+            if self.model == BPE:
+                ask = np.flatnonzero((before > 0) & (piece[a:b] > 0))
+                ok[ask] = self.fitting(before[ask], piece[a:b][ask]) if len(ask) else True
+            e, p, value = end[a:b][ok], piece[a:b][ok], total[start[a:b][ok]] + worth[piece[a:b][ok]]
+            if self.model != BPE:  # the best path into every position
+                best = np.lexsort((p, -value, e))
+                best = best[np.diff(e[best], prepend=-1) != 0]
+                e, p, value = e[best], p[best], value[best]
+            last[e], total[e] = p, value
+        # walk back, all stretches at once
+        at, own, steps = first + size, np.arange(len(size)), []
+        while len(own):
+            p = last[at]
+            steps.append((own, np.where(p > 0, self.number_to_id[p], -1 - codes[at - 1].astype(np.int64))))
+            at = at - np.where(p > 0, self.length[p], 1)
+            more = at > first[own]
+            at, own = at[more], own[more]
+        owners, found = (np.concatenate(x[::-1]) for x in zip(*steps, strict=True))
+        order = np.argsort(owners, kind="stable")
+        flat, cuts = found[order].tolist(), np.cumsum(np.bincount(owners, minlength=len(size))).tolist()
+        for s, a, b in zip(stretches, [0, *cuts], cuts, strict=False):
+            ids = flat[a:b]
+            self.known[s] = ids if min(ids) >= 0 else [i for x in ids for i in ((x,) if x >= 0 else self.spelled(chr(-1 - x)))]
+
+    def spelled(self, char: str) -> list[int]:
+        """Ids of a character without a piece."""
+        return [self.byte_ids[b] for b in char.encode("utf-8", "replace")] if self.byte_ids else [self.unknown]
 
     def encode(self, texts: list[str | None]) -> list[list[int]]:
         """Ids of every text; empty for a null or empty one."""
         self.prepared()
-        cut = [self.cut.findall((SPACE if self.dummy_prefix and t else "") + (t or "").replace(" ", SPACE)) for t in texts]
-        self.learn(list(dict.fromkeys(s for own in cut for s in own if s not in self.known)))
+        cut = [self.stretches((SPACE if self.dummy_prefix else "") + t.replace(" ", SPACE)) if t else [] for t in texts]
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
         known = self.known
+        new = list(dict.fromkeys(s for own in cut for s in own if s not in known))
+        if new:
+            self.learn(new)
         return [[i for s in own for i in known[s]] for own in cut]
 
     def decode(self, ids: list[int]) -> str:
