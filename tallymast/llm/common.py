@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,17 +37,11 @@ def training_labels(labels: DataFrame, label: str, most: int) -> DataFrame:
     return means.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
 
-def by_size(texts: Iterator[str], most: int) -> Iterator[list[str]]:
-    """Consecutive texts in lists of about ``most`` characters."""
-    held, size = [], 0
-    for text in texts:
-        held.append(text or "")
-        size += len(held[-1])
-        if size >= most:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
+def some_texts(docs: DataFrame, most: int) -> DataFrame:
+    """(h, text) of at most ``most`` different texts, those of the smallest hash.  Only hashes are sorted."""
+    hashed = docs.select(F.xxhash64("text").alias("h"), "text").where("text is not null")
+    last = hashed.select("h").distinct().orderBy("h").limit(most).agg(F.max("h")).first()[0]
+    return hashed.where(F.col("h") <= F.lit(0 if last is None else last)).groupBy("h").agg(F.min("text").alias("text"))
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import some_texts
+
 KINDS = ("email", "ip", "card", "phone")
 #: Documents a model is trained on, at most, and windows of each kind and of none from them.
 MOST_DOCS, MOST_WINDOWS = 4_000, 300
@@ -307,17 +309,10 @@ def train(texts: list[str], hidden: int = 12, updates: int = 500, rows: int = 64
 
 
 def fit(docs: DataFrame, most: int = MOST_DOCS, **options) -> Tagger | None:
-    """A tagger trained on at most ``most`` documents with a digit or at-sign, those of the smallest
-    text hash; the first 20,000 characters of each are enough to learn from."""
-    some = docs.where(F.col("text").rlike("[0-9@]")).select(F.xxhash64("text").alias("h"), F.substring("text", 1, 20_000).alias("text"))
-    # windows, not documents, are what training holds; the hash makes the choice the same on every run
-    chosen = some.orderBy("h", "text").limit(most).select("text")
-    return train([r[0] for r in chosen.toLocalIterator()], **options)
-
-
-def joined(spans: list[tuple[int, str, int]]) -> str:
-    rank = {k: i for i, k in enumerate(KINDS)}
-    return ",".join(f"{k}:{a}:{b}" for a, k, b in sorted(spans, key=lambda s: (s[0], rank[s[1]], s[2])))
+    """A tagger trained on at most ``most`` texts with a digit or at-sign, those of the smallest hash, of
+    which the first 20,000 characters each: training holds windows, and few of a text."""
+    chosen = some_texts(docs.where(F.col("text").rlike("[0-9@]")), most).select("h", F.substring("text", 1, 20_000).alias("text"))
+    return train([r[1] for r in chosen.orderBy("h").toLocalIterator()], **options)
 
 
 _SPANS = "array<struct<kind: string, start: int, stop: int, base: boolean>>"

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, ngram_jaccard, pii, quality, sentencepiece
+from . import decontaminate, merkle, ngram_jaccard, pii, quality, secrets, sentencepiece, urls
 from .common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,6 +42,42 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
+OP5_SQL = r"""
+WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM u),
+p AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM h),
+r AS (SELECT *, '.' || host AS dotted FROM p),
+j AS (SELECT *, CASE
+    WHEN ends_with(dotted, '.example.org') AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+    WHEN ends_with(dotted, '.example.org') AND starts_with(path, '/es/') THEN 'example.org/es/'
+    WHEN ends_with(dotted, '.com') AND starts_with(path, '/fr/') THEN 'com/fr/'
+    WHEN ends_with(dotted, '.com') AND starts_with(path, '/de/') THEN 'com/de/'
+    WHEN ends_with(dotted, '.org') AND starts_with(path, '/') THEN 'org/' END AS rule FROM r)
+SELECT page_id, host, path, rule, CASE
+    WHEN rule IN ('example.org/en/1', 'example.org/es/', 'com/de/') THEN 'block'
+    WHEN rule IS NOT NULL THEN 'allow'
+    WHEN regexp_matches(host, '(^|[.-])(pills|casino|adult|ads|spam|bets|porn|poker|viagra|xxx|track|banner|doubleclick|escort|lottery)([.-]|$)') THEN 'block'
+    ELSE 'allow' END AS verdict
+FROM j
+"""
+
+
+@query("op5_url_rules", OP5_SQL)
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return urls.filter_urls(table(spark, folder, "pages", "page_id", "url"))
+
+
+@query("op6_secrets")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents", "doc_id", "text")
+    return secrets.scan(docs, secrets.fit(docs))
+
+
+@query("op8_fingerprints")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.edited_fingerprints(table(spark, folder, "documents", "doc_id", "text"))
+
+
 OP9_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
