@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, merkle, ngram_jaccard, pii, quality, secrets, sentencepiece, urls
+from . import decontaminate, html, merkle, ngram_jaccard, pii, quality, secrets, sentencepiece, toxicity, urls
 from .common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,6 +34,19 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.select("doc_id", F.size("token_ids").alias("n_tokens"), back.alias("round_trip"), "token_ids")
 
 
+@query("op2_toxicity")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents", "doc_id", "text")
+    model = toxicity.fit(docs, table(spark, folder, "labels"))
+    scored = docs.select("doc_id", held_out().alias("held_out"), toxicity.score("text", model).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+@query("op3_html")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return html.extract_pages(table(spark, folder, "pages", "page_id", "url", "html"))
+
+
 @query("op4_quality")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents", "doc_id", "text")
