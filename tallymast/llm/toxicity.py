@@ -31,7 +31,7 @@ from .common import training_labels
 #: Labelled rows that are learned from, entries of the lexicon, at most.
 MOST_LABELLED, MOST_ENTRIES = 20_000, 2_000
 #: An entry needs so many different places (by the words on both sides, which near copies share) in toxic
-#: texts, and a share of the toxic texts so many times that of the clean ones.
+#: texts, and half as many as it has toxic texts, and a share of the toxic texts so many times that of the clean ones.
 LEAST_PLACES, LEAST_RATIO = 5, 25.0
 #: Lengths of the beginnings of words that are tried.
 STEMS = (4, 5, 6, 7, 8)
@@ -221,7 +221,7 @@ def lexicon(sample: DataFrame, most: int = MOST_ENTRIES) -> frozenset[str]:
     once = places.groupBy("term", "place").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     summed = once.groupBy("term").agg(F.count("place").alias("places"), F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     ratio = ((F.col("toxic") + 0.5) / (sizes[1] + 1)) / ((F.col("clean") + 0.5) / (sizes[0] + 1))
-    good = summed.where((F.col("places") >= LEAST_PLACES) & (ratio >= LEAST_RATIO))
+    good = summed.where((F.col("places") >= LEAST_PLACES) & (2 * F.col("places") >= F.col("toxic")) & (ratio >= LEAST_RATIO))
     rows = good.orderBy(F.desc("toxic"), "term").limit(4 * most).collect()
     words = {r["term"]: r["toxic"] for r in rows if r["term"][-1] != "*"}
     taken = dict(words)
