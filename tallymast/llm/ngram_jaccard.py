@@ -203,7 +203,7 @@ def _gathered(least: Fraction):
         pieces = np.split(tokens[order], np.cumsum(np.bincount(index, minlength=k))[:-1])
         bits = np.zeros((k, WORDS), np.uint64)
         np.bitwise_or.at(bits, (index, tokens >> 6 & WORDS - 1), np.uint64(1) << (tokens & 63).astype(np.uint64))
-        return pd.DataFrame({"doc_id": pd.array(ids, "Int64").astype(object).where(known == 1, None) if not known.all() else ids, "n_shingles": n, "node": names, "shared": [p if ok else None for p, ok in zip(pieces, can, strict=True)], "bits": [b if ok else None for b, ok in zip(bits.view(np.int64), can, strict=True)]})
+        return pd.DataFrame({"doc_id": pd.arrays.IntegerArray(ids.copy(), known == 0), "n_shingles": n, "node": names, "shared": [p if ok else None for p, ok in zip(pieces, can, strict=True)], "bits": [b if ok else None for b, ok in zip(bits.view(np.int64), can, strict=True)]})
 
     return gather
 
