@@ -161,7 +161,7 @@ def _(v):
     return cdr.top_contacts(v.cdr)
 
 
-_CYCLES = """e AS (SELECT a_party AS src, b_party AS dst FROM calls WHERE a_party <> b_party GROUP BY 1, 2 HAVING count(*) >= 3),
+_CYCLES = """e AS (SELECT src, dst FROM call_links),
 p(path, anchor, tail, n) AS (
   SELECT [src, dst], src, dst, 2 FROM e WHERE src < dst
   UNION ALL
@@ -174,7 +174,7 @@ cyc AS (SELECT list_sort(p.path) AS m, min(p.path) AS path FROM p JOIN e ON e.sr
 WITH RECURSIVE {_CYCLES}
 SELECT array_to_string(m, '|') AS members, array_to_string(path, '|') AS path, len(path) AS length FROM cyc""")
 def _(v):
-    return cdr.call_cycles(cdr.distinct_links(v.cdr, 3))
+    return cdr.call_cycles(v.call_links)
 
 
 _RING = """short AS (SELECT subject, us, event_id, b_party,
@@ -208,7 +208,7 @@ j AS (SELECT s.subject, s.total, s.voice_calls, s.sms, s.voice_calls * 100.0 / (
 SELECT subject, total, voice_calls, sms, round(vp, 4) AS voice_pct, voice_only, repeated_durations, dominant_contact, signalling, cycles,
   CASE WHEN voice_only OR cycles > 0 THEN 'HIGH' WHEN vp > 90 OR dominant_contact OR signalling THEN 'MEDIUM' ELSE 'LOW' END AS level FROM j""")
 def _(v):
-    return cdr.communication_profile(v.cdr_dense, cycles=cdr.call_cycles(cdr.distinct_links(v.cdr, 3)))
+    return cdr.communication_profile(v.cdr_dense, cycles=cdr.call_cycles(v.call_links))
 
 
 @check("B1_daily_activity", """

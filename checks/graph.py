@@ -5,7 +5,7 @@ from tallymast.operators import graph
 from . import check
 
 CELLS = "cell AS (SELECT DISTINCT tower_id, us - us % 300000000 AS bin, mobile_number AS n FROM tower_dump_dense)"
-CO = f"{CELLS}, co AS (SELECT x.n AS a, y.n AS b, count(*) AS weight FROM cell x JOIN cell y USING (tower_id, bin) WHERE x.n < y.n GROUP BY 1, 2 HAVING count(*) >= 3)"
+CO = f"{CELLS}, co AS (SELECT x.n AS a, y.n AS b, count(*) AS weight FROM cell x JOIN cell y USING (tower_id, bin) WHERE x.n < y.n GROUP BY 1, 2)"
 BI = "bi AS (SELECT a AS u, b AS v FROM co UNION ALL SELECT b, a FROM co), dg AS (SELECT u AS node, count(*) AS degree FROM bi GROUP BY 1)"
 CALL = "ce AS (SELECT a_party AS src, b_party AS dst, count(*) AS weight FROM cdr GROUP BY 1, 2)"
 IO = "io AS (SELECT node, CAST(sum(i) AS BIGINT) AS in_degree, CAST(sum(o) AS BIGINT) AS out_degree FROM (SELECT src AS node, 0 AS i, 1 AS o FROM ce UNION ALL SELECT dst, 1, 0 FROM ce) GROUP BY 1)"
@@ -147,14 +147,14 @@ def _(v):
     return graph.peripheral(graph.eigenvector(co(v), iters=48, tol=0)).withColumn("centrality", F.round("centrality", 3))
 
 
-FREQ = "ce AS (SELECT a_party AS src, b_party AS dst, count(*) AS weight FROM cdr GROUP BY 1, 2 HAVING count(*) >= 3)"
+FREQ = "ce AS (SELECT a_party AS src, b_party AS dst, count(*) AS weight FROM cdr GROUP BY 1, 2)"
 ROLES = """rl AS (SELECT *, CASE WHEN out_degree > ao * 1.5 AND in_degree < ai THEN 'OUTGOING' WHEN in_degree > ai * 1.5 AND out_degree > ao * 1.5 THEN 'BALANCED'
  WHEN in_degree > ai * 1.5 AND out_degree < ao THEN 'INCOMING' END AS role FROM io, (SELECT avg(in_degree) AS ai, avg(out_degree) AS ao FROM io)),
 ro AS (SELECT node, in_degree, out_degree, role, CASE role WHEN 'OUTGOING' THEN out_degree * 1.0 / (in_degree + 1) WHEN 'INCOMING' THEN in_degree * 1.0 / (out_degree + 1) ELSE in_degree + out_degree END AS ratio FROM rl WHERE role IS NOT NULL)"""
 
 
 def freq(v):
-    return graph.call_edges(v.cdr).filter("weight >= 3")
+    return graph.call_edges(v.cdr)
 
 
 @check("Q13_call_roles", f"WITH {FREQ}, {IO}, {ROLES} SELECT node, in_degree, out_degree, role, round(ratio, 4) AS ratio FROM ro")

@@ -118,10 +118,10 @@ def _(v):
 
 
 @check("N3_isolated_subjects", f"""
-WITH {_LINK}, fr AS (SELECT * FROM dl WHERE calls >= 4)
+WITH {_LINK}, fr AS (SELECT * FROM dl)
 SELECT s AS subject FROM ids WHERE s NOT IN (SELECT subject FROM fr UNION ALL SELECT to_subject FROM fr)""")
 def _(v):
-    return network.isolated_subjects(network.contact_edges(v.cdr).filter("calls >= 4"), _ids(v))
+    return network.isolated_subjects(network.contact_edges(v.cdr), _ids(v))
 
 
 _SHARED = "sh AS (SELECT contact, count(*) AS sharers, CAST(sum(calls) AS BIGINT) AS calls, count(*) >= 3 AS intermediary FROM e GROUP BY 1 HAVING count(*) > 1)"

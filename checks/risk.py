@@ -44,7 +44,7 @@ def _(v):
     return risk.cdr_risk_components(p(v)).drop("factors")
 
 
-NET = """e AS (SELECT subject, b_party AS contact, count(*) AS calls FROM calls GROUP BY ALL), dl AS (SELECT subject, count(*) AS direct_links FROM e WHERE calls >= 4 AND contact IN (SELECT a_party FROM cdr) AND contact <> subject GROUP BY 1),
+NET = """e AS (SELECT subject, b_party AS contact, count(*) AS calls FROM calls GROUP BY ALL), dl AS (SELECT subject, count(*) AS direct_links FROM e WHERE contact IN (SELECT a_party FROM cdr) AND contact <> subject GROUP BY 1),
 sh AS (SELECT subject, count(*) AS common_contacts FROM e WHERE contact IN (SELECT contact FROM e GROUP BY 1 HAVING count(*) > 1) GROUP BY 1)"""
 
 
@@ -53,7 +53,7 @@ sh AS (SELECT subject, count(*) AS common_contacts FROM e WHERE contact IN (SELE
 def _(v):
     edges = network.contact_edges(v.cdr)
     ids = v.cdr.select("subject", F.col("a_party").alias("msisdn")).distinct()
-    direct = network.direct_links(edges.filter("calls >= 4"), ids).groupBy("subject").agg(F.count(F.lit(1)).alias("direct_links"))
+    direct = network.direct_links(edges, ids).groupBy("subject").agg(F.count(F.lit(1)).alias("direct_links"))
     common = network.sharers(edges, network.shared_contacts(edges)).groupBy("subject").agg(F.count(F.lit(1)).alias("common_contacts"))
     full = p(v).join(direct, "subject", "left").join(common, "subject", "left").fillna(0, ["direct_links", "common_contacts"])
     return risk.cdr_risk_components(full, "documented").drop("factors")
@@ -106,7 +106,7 @@ def _(v):
 
 
 def _flags(v):
-    return risk.flag_rows(v.cdr, cycles=cdr.call_cycles(cdr.distinct_links(v.cdr, 3)), sync=network.synchronized(v.cdr))
+    return risk.flag_rows(v.cdr, cycles=cdr.call_cycles(v.call_links), sync=network.synchronized(v.cdr))
 
 
 _on_calls = lambda text: text.replace("calls_dense", "calls")

@@ -74,6 +74,9 @@ VIEWS = {
  17.0E0 + 0.02E0 * (k % 20) AS lat; 82.0E0 + 0.03E0 * (k % 5) AS lon; k >= 95 AS is_provider_message""", None, False),
     "cdr": ("cdr_both", _CDR.format(t="us"), None, False),
     "cdr_dense": ("cdr_both", _CDR.format(t="dus"), None, False),
+    # who calls whom in a sparse graph: rings of four with chords, and chains between them
+    "call_links": ("cdr_both", """a_party AS src;
+ CAST(9000000000 + CASE WHEN user_id % 12 = 3 THEN user_id - 3 ELSE user_id + 1 + event_id % 2 END AS {STR}) AS dst""", None, True),
     "calls": ("cdr", "*", "NOT is_provider_message", False),
     "calls_dense": ("cdr_dense", "*", "NOT is_provider_message", False),
     # source-shaped text columns with deliberate dirt, for the readers and validators

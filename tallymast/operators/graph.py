@@ -7,6 +7,8 @@ the driver only ever sees a row count or a checksum.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -318,15 +320,16 @@ def role_pairs(roles: DataFrame, k: int = 2) -> DataFrame:
     return top("OUTGOING", "source").join(top("INCOMING", "target"), "_k").drop("_k")
 
 
-def shortest_paths(e: DataFrame, pairs: DataFrame, max_hops: int = 6) -> DataFrame:
+def shortest_paths(e: DataFrame, pairs: DataFrame, max_hops: int | None = None) -> DataFrame:
     """Shortest directed paths of more than one hop between the given pairs; among equally short
-    ones the first in node order.  A breadth-first search from the few sources, one join per hop."""
+    ones the first in node order.  A breadth-first search from the few sources, one join per hop, until nothing new is reached (or for
+    ``max_hops`` hops, where that is given)."""
     hop = cut_lineage(e.select(F.col("src").alias("_u"), F.col("dst").alias("_v")).filter("_u <> _v"))
     pairs = cut_lineage(pairs.select("source", "target").distinct())
     frontier = pairs.select("source").distinct().select("source", F.col("source").alias("node"), F.array("source").alias("path"))
     frontier = cut_lineage(frontier)
     seen, found = frontier.select("source", "node"), None
-    for _ in range(max_hops):
+    for _ in range(max_hops) if max_hops is not None else itertools.count():
         reached = frontier.join(hop, frontier["node"] == hop["_u"]).select("source", F.col("_v").alias("node"), F.array_append("path", F.col("_v")).alias("path"))
         frontier = cut_lineage(reached.groupBy("source", "node").agg(F.min("path").alias("path")).join(seen, ["source", "node"], "left_anti"))
         hits = frontier.join(pairs.withColumnRenamed("target", "node"), ["source", "node"], "left_semi")

@@ -5,8 +5,8 @@ count rows per key (map-side combined, one narrow column) and cut only the *hot*
 time shards of about ``hot_rows`` rows.  Cold keys keep a single partition, so the common
 case costs one shuffle.  What crosses a shard boundary is carried by one seam row per shard.
 
-Broadcast sizes are bounded by construction: at most ``HOT_KEYS`` hot keys, and at most
-``rows / hot_rows + HOT_KEYS`` seams (about 250,000 for a trillion rows).
+Broadcast sizes are bounded by construction: at most ``rows / hot_rows`` keys are hot, and there are at
+most twice as many seams (some 250,000 and 500,000 narrow rows for a trillion rows).
 """
 
 from __future__ import annotations
@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 from ..functions.scalar import us
 
 HOT_ROWS = 4_000_000
-HOT_KEYS = 10_000
 
 
 def hot_widths(df: DataFrame, keys: Sequence[str], ts: str, hot_rows: int, min_width: int = 1) -> DataFrame:
@@ -30,8 +29,6 @@ def hot_widths(df: DataFrame, keys: Sequence[str], ts: str, hot_rows: int, min_w
     width = ((F.col("_hi") - F.col("_lo") + 1) / F.col("_n") * hot_rows).cast("bigint")
     return (
         stats.filter(F.col("_n") > hot_rows)
-        .orderBy(F.desc("_n"))
-        .limit(HOT_KEYS)
         .select(*[F.col(k).alias(f"_hot_{k}") for k in keys],
                 F.greatest(width, F.lit(min_width)).alias("_width"))
     )

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,6 +41,21 @@ def local_session(cores: int | str = 8, memory: str = "8g", **extra: str) -> Spa
     return spark
 
 
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the executors of a cluster that has not installed it: Python functions in
+    tasks import it by name."""
+    folder = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="tallymast-"), "tallymast.zip")
+    with zipfile.ZipFile(target, "w") as archive:
+        for top, _, names in os.walk(folder):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(top, name)
+                    archive.write(path, os.path.relpath(path, os.path.dirname(folder)))
+    spark.sparkContext.addPyFile(target)  # copied from the driver to every executor
+    return spark
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint of ``df`` in the shared folder named by ``spark.checkpoint.dir``.
 

@@ -20,6 +20,8 @@ CDR_ALIASES = {name: [name, header] for name, header in tables.CDR_COLUMNS.items
 CDR_ALIASES["lat"].append("lat")
 CDR_ALIASES["lon"] += ["long", "lon"]
 IPDR_ALIASES = {name: [name] for name in tables.IPDR_COLUMNS}
+#: Bits of a record position below the number of its part: 2**17 tasks a part, 512 parts.
+PART_BITS = 50
 CDR_REQUIRED = ["a_party", "b_party", "date", "time", "call_type"]
 
 
@@ -30,24 +32,65 @@ def _split(paths: str | Sequence[str]) -> list[str]:
 
 def _format(path: str) -> str:
     tail = path.rstrip("/*").rsplit(".", 1)[-1].lower()
-    return {"csv": "csv", "xlsx": "xlsx", "xls": "xlsx", "parquet": "parquet", "json": "json"}.get(tail, "")
-
-
-def _raw(spark: SparkSession, path: str, aliases: dict, required: Sequence[str] = (), fmt: str | None = None) -> DataFrame:
-    """One path (file, folder or glob) with ``source_file``."""
+    return {"csv": "csv", "xlsx": "xlsx", "parquet": "parquet", "json": "json"}.get(tail, "")
+
+
+def _formats(spark: SparkSession, path: str) -> list[str]:
+    """Format by the name of the path, or those of the files in a folder; only names are read."""
+    if _format(path) or path.lower().endswith(".xls"):  # the old binary workbooks are not supported
+        return [_format(path)]
+    files = lambda ext: spark.read.format("binaryFile").option("pathGlobFilter", f"*.{ext}").load(path).select("path")
+    try:
+        return [k for k in ("csv", "xlsx", "parquet", "json") if not files(k).isEmpty()] or [""]
+    except PySparkException as e:
+        raise ValueError(f"unsupported file type or no such path: {path}") from e
+
+
+def _csv(spark: SparkSession, path: str, names: str) -> list[DataFrame]:
+    """One frame for every header line among the files: Spark would apply the header of one file to all.
+    The beginnings of the files give the headers; their number is that of export formats, not of files."""
+    read = lambda p: spark.read.option("header", True).option("mode", "PERMISSIVE").option("pathGlobFilter", names).csv(p)
+    lines = spark.read.option("pathGlobFilter", names).text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"))
+    first = lines.filter("at = 0").withColumn("n", F.monotonically_increasing_id()).groupBy("file").agg(F.min_by("value", "n").alias("header"))
+    headers = [r["header"] for r in first.select("header").distinct().collect()]
+    if len(headers) < 2:
+        return [read(path)]
+    files = lambda h: [r["file"] for r in first.filter(F.col("header") == h).select("file").toLocalIterator()]
+    return [read(sorted(files(h))) for h in sorted(headers)]
+
+
+def _position(df: DataFrame, part: int) -> DataFrame:
+    """The place of a record in its file as ``_position``: rises along every file, and from one part (a
+    path, or a header) to the next.  Needs no shuffle."""
+    return df.withColumn("_position", F.monotonically_increasing_id() + F.lit(part << PART_BITS))
+
+
+def _raw(spark: SparkSession, path: str, aliases: dict, required: Sequence[str] = (), fmt: str | None = None) -> list[DataFrame]:
+    """One path (file, folder or glob) with ``source_file``, a frame for every layout found there."""
+    if fmt is None:
+        kinds = _formats(spark, path)
+        if len(kinds) > 1 or kinds[0] != _format(path):
+            return [df for k in kinds for df in _raw(spark, path, aliases, required, k)]
+    names = "*" if fmt is None or path.rstrip("/*").lower().endswith(f".{fmt}") else f"*.{fmt}"
     fmt = fmt or _format(path)
     if fmt == "xlsx":
         headers = {a.lower().replace("_", " "): a for names in aliases.values() for a in names}  # one per name
-        return read_xlsx(spark, path, list(headers.values()), [aliases[r] for r in required])
+        return [read_xlsx(spark, path, list(headers.values()), [aliases[r] for r in required], names)]
     if fmt == "csv":
-        df = spark.read.option("header", True).option("mode", "PERMISSIVE").csv(path)
+        found = _csv(spark, path, names)
     elif fmt == "json":
-        df = spark.read.option("multiLine", True).json(path)
+        found = [spark.read.option("multiLine", True).option("pathGlobFilter", names).json(path)]
     elif fmt == "parquet":
-        df = spark.read.parquet(path)
+        found = [spark.read.option("pathGlobFilter", names).parquet(path)]
     else:
         raise ValueError(f"unsupported file type: {path}")
-    return df.withColumn("source_file", F.col("_metadata.file_path"))
+    return [df.withColumn("source_file", F.col("_metadata.file_path")) for df in found]
+
+
+def _known(df: DataFrame, aliases: dict, part: int, merge: bool) -> DataFrame:
+    """Canonical names; ``event_id`` is that of the source, or else the position of the record."""
+    named = rename(_position(df, part), {**aliases, "source_file": ["source_file"], "event_id": ["event_id", "_position"]}, merge=merge)
+    return named.withColumn("event_id", F.col("event_id").cast("string").try_cast("bigint"))
 
 
 def _read_all(spark, paths, aliases, required, fmt) -> DataFrame | None:
@@ -57,19 +100,25 @@ def _read_all(spark, paths, aliases, required, fmt) -> DataFrame | None:
     good = []
     for path in _split(paths):
         try:
-            raw = _raw(spark, path, aliases, required, fmt)
+            found = _raw(spark, path, aliases, required, fmt)
         except (PySparkException, ValueError) as e:
             log.warning("skipped %s: %s", path, e)
             continue
-        flat = {c.strip().lower().replace("_", " ") for c in raw.columns}
-        absent = [r for r in required if not any(a.lower().replace("_", " ") in flat for a in aliases[r])]
-        if absent:
-            log.warning("skipped %s: no column for %s", path, absent)
-            continue
-        good.append(rename(raw, {**aliases, "source_file": ["source_file"]}, merge=(fmt or _format(path)) == "xlsx"))
+        for raw in found:
+            flat = {c.strip().lower().replace("_", " ") for c in raw.columns}
+            absent = [r for r in required if not any(a.lower().replace("_", " ") in flat for a in aliases[r])]
+            if absent:
+                log.warning("skipped %s: no column for %s", path, absent)
+                continue
+            good.append(_known(raw, aliases, len(good), merge=_is_workbook(raw)))
     return reduce(lambda a, b: a.unionByName(b), good) if good else None
 
 
+def _is_workbook(raw: DataFrame) -> bool:
+    """Workbooks show every alias as a column, see :func:`read_xlsx`."""
+    return "source_file" == raw.columns[-1] and all(f.dataType.simpleString() == "string" for f in raw.schema) and "_workbook" in raw.schema["source_file"].metadata
+
+
 def _empty(spark: SparkSession, layout) -> DataFrame:
     return spark.createDataFrame([], layout)
 
@@ -86,25 +135,31 @@ def read_ipdr(spark: SparkSession, paths: str | Sequence[str], fmt: str | None =
     return _empty(spark, schema.IPDR) if raw is None else normalize_ipdr(raw, **kw)
 
 
-def read_tower_dump(spark: SparkSession, path: str, fmt: str | None = None, **kw) -> DataFrame:
-    """One dump.  Any file type but csv, xlsx, xls and parquet is an error."""
-    kind = fmt or _format(path)
-    if kind not in ("csv", "xlsx", "parquet"):
+def read_tower_dump(spark: SparkSession, path: str, fmt: str | None = None, first_part: int = 0, **kw) -> DataFrame:
+    """One dump: a file, or a folder of files.  Any file type but csv, xlsx and parquet is an error."""
+    kinds = [fmt] if fmt else _formats(spark, path)
+    if not set(kinds) <= {"csv", "xlsx", "parquet"}:
         raise ValueError(f"unsupported file type: {path}")
-    raw = _raw(spark, path, tables.TOWER_ALIASES, fmt=kind)
-    raw = rename(raw, {**tables.TOWER_ALIASES, "source_file": ["source_file"]}, merge=kind == "xlsx")
-    return normalize_tower(raw, **kw)
+    raw = [df for k in kinds for df in _raw(spark, path, tables.TOWER_ALIASES, fmt=k)]
+    known = [_known(df, tables.TOWER_ALIASES, first_part + i, _is_workbook(df)) for i, df in enumerate(raw)]
+    return normalize_tower(reduce(lambda a, b: a.unionByName(b), known), **kw)
 
 
 def read_tower_dumps(spark: SparkSession, paths: str | Sequence[str], fmt: str | None = None) -> DataFrame:
     """Several dumps, tagged with their file and de-duplicated on (timestamp, number, tower)."""
-    dumps = [read_tower_dump(spark, p, fmt) for p in _split(paths)]
-    return deduplicate(reduce(lambda a, b: a.unionByName(b), dumps))
+    dumps = []
+    for i, path in enumerate(_split(paths)):
+        try:
+            dumps.append(read_tower_dump(spark, path, fmt, first_part=i * 8))
+        except (PySparkException, ValueError) as e:
+            log.warning("skipped %s: %s", path, e)
+    return deduplicate(reduce(lambda a, b: a.unionByName(b), dumps), order=("event_id",)) if dumps else _empty(spark, schema.TOWER)
 
 
 def read_towers(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
     """Tower dimension from csv, xlsx, json or parquet; the coverage radius defaults to 1 km."""
-    raw = rename(_raw(spark, path, tables.TOWER_DIM_ALIASES, fmt=fmt), tables.TOWER_DIM_ALIASES, merge=(fmt or _format(path)) == "xlsx")
+    found = [rename(df, tables.TOWER_DIM_ALIASES, merge=_is_workbook(df)) for df in _raw(spark, path, tables.TOWER_DIM_ALIASES, fmt=fmt)]
+    raw = reduce(lambda a, b: a.unionByName(b), found)
     number = lambda c: F.col(c).try_cast("double")
     return raw.select(
         F.trim(F.col("tower_id").cast("string")).alias("tower_id"), number("lat").alias("lat"), number("long").alias("long"),

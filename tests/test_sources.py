@@ -101,3 +101,64 @@ def test_write_result_flattens_lists_for_csv(spark, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "o")).first()["v"] == "x|y"
     sources.write_result(df.withColumn("d", F.lit("2024")), str(tmp_path / "p"), partition_by=["d"])
     assert (tmp_path / "p" / "d=2024").is_dir()
+
+
+CALL = "9000000001,9000000002,2024-01-{:02d},03:04:05,17,CALL-OUT,C1,C2,Here,350000000000001,404000000000001,17.5,82.5"
+
+
+def test_every_file_has_its_own_header(spark, tmp_path):
+    (tmp_path / "1_A.csv").write_text("\n".join([HEAD, CALL.format(1)]))
+    turned = lambda line: ",".join(line.split(",")[::-1])
+    (tmp_path / "2_B.csv").write_text("\n".join([turned(HEAD), turned(CALL.format(2))]))
+    rows = {r["subject"]: r for r in sources.read_cdr(spark, str(tmp_path)).collect()}  # a folder without an extension
+    assert set(rows) == {"A_1", "B_2"}
+    assert all(r["a_party"] == "9000000001" and r["duration_seconds"] == 17 and r["lat"] == 17.5 for r in rows.values())
+    assert [rows[k]["datetime"].day for k in ("A_1", "B_2")] == [1, 2]
+
+
+def test_records_keep_the_order_of_their_file(spark, tmp_path):
+    from tallymast.operators import quality
+
+    head = "MSISDN,TimeStamp,Cell_ID,Duration\n"
+    lines = [f"90000000{i % 7:02d},02-01-2024 03:{i // 60:02d}:{i % 60:02d},T{i % 3},{i}\n" for i in range(400)]
+    for name, own, want in (("sorted", lines, True), ("turned", lines[::-1], False)):
+        (tmp_path / f"{name}.csv").write_text(head + "".join(own))
+        df = sources.read_tower_dump(spark, str(tmp_path / f"{name}.csv"))
+        assert df.count() == 400 and quality.tower_pattern_quality(df).first()["in_time_order"] is want
+    same = [f"900000000{k},02-01-2024 03:04:05,T1,{d}\n" for d in range(9) for k in range(1, 6)]
+    for name, own in (("x", same), ("y", same[::-1])):
+        (tmp_path / f"{name}.csv").write_text(head + "".join(own))
+    both = sources.read_tower_dumps(spark, [str(tmp_path / "x.csv"), str(tmp_path / "none.csv"), str(tmp_path / "y.csv")])
+    assert [(r["duration"], r["dump_id"]) for r in both.collect()] == [(0.0, "x")] * 5
+
+
+def _workbook(path, rows, styles=("yyyy\\-mm\\-dd hh:mm:ss", "dd/mm/yyyy", "hh:mm"), broken=False):
+    """Text cells, and (number, style) ones."""
+    cell = lambda v: f'<c t="inlineStr"><is><t>{v}</t></is></c>' if isinstance(v, str) else f'<c s="{v[1]}"><v>{v[0]}</v></c>'
+    main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    with zipfile.ZipFile(path, "w") as z:
+        formats = "".join(f'<numFmt numFmtId="{164 + i}" formatCode="{c}"/>' for i, c in enumerate(styles))
+        z.writestr("xl/styles.xml", f'<styleSheet {main}><numFmts>{formats}</numFmts><cellXfs><xf numFmtId="0"/>{"".join(f"""<xf numFmtId="{164 + i}"/>""" for i in range(len(styles)))}<xf numFmtId="22"/></cellXfs></styleSheet>')
+        body = "".join(f"<row>{''.join(map(cell, r))}</row>" for r in rows)
+        z.writestr("xl/worksheets/sheet1.xml", f"<worksheet {main}><sheetData>{body}" + ("" if broken else "</sheetData></worksheet>"))
+
+
+def test_dates_of_workbooks(spark, tmp_path):
+    _workbook(tmp_path / "1_A.xlsx", [HEAD.split(","), ["9000000001", "9000000002", (45293, 2), (0.127835648148148, 3), "17", "CALL-OUT", "C1", "C2", "Here", "350000000000001", "404000000000001", "17.5", "82.5"]])
+    call = sources.read_cdr(spark, str(tmp_path / "1_A.xlsx")).first()
+    assert call["datetime"] == datetime(2024, 1, 2, 3, 4, 5)
+    _workbook(tmp_path / "d.xlsx", [["MSISDN", "TimeStamp", "Cell_ID"], ["9000000001", (45293.127835648148, 1), "T1"], ["9000000002", (45293.127835648148, 4), "T1"]])
+    dump = sources.read_tower_dump(spark, str(tmp_path / "d.xlsx")).collect()
+    assert [r["timestamp"] for r in dump] == [datetime(2024, 1, 2, 3, 4, 5)] * 2
+    _workbook(tmp_path / "i.xlsx", [["SUBSCRIBER_ID", "START_TIME", "END_TIME", "DESTINATION_PORT", "DATA_VOLUME_UP", "DATA_VOLUME_DOWN", "PROTOCOL"], ["919000000001", (45293, 1), (45293.5, 1), "443", "1", "2", "TCP"]])
+    session = sources.read_ipdr(spark, str(tmp_path / "i.xlsx")).first()
+    assert (session["start_time"], session["end_time"]) == (datetime(2024, 1, 2), datetime(2024, 1, 2, 12))
+
+
+def test_damaged_and_old_workbooks_give_nothing(spark, tmp_path):
+    rows = [["MSISDN", "TimeStamp", "Cell_ID"]] + [["9000000001", "02-01-2024 03:04:05", "T1"]] * 12_000
+    _workbook(tmp_path / "d.xlsx", rows, broken=True)
+    assert sources.read_tower_dump(spark, str(tmp_path / "d.xlsx")).count() == 0
+    (tmp_path / "old.xls").write_bytes(b"\xd0\xcf\x11\xe0")
+    with pytest.raises(ValueError):
+        sources.read_tower_dump(spark, str(tmp_path / "old.xls"))
