@@ -131,17 +131,12 @@ def block_pairs(
         [F.col(g) == F.col(f"_g_{g}") for g in group], "left",
     ).select(*rows.columns, F.coalesce("_blocks", F.lit(1)).alias("_blocks"))
     block = F.pmod(F.xxhash64(member), F.col("_blocks")).cast("int")
-    low = sized.select(
-        *group, F.col(member).alias("_m"), block.alias("_i"),
-        F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_j"),
-    )
-    high = sized.select(
-        *group, F.col(member).alias("_o"), block.alias("_j"),
-        F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_i"),
-    )
-    # every ordered pair of members meets once, in cell (block of a, block of b)
+    sized = sized.select(*group, F.col(member).alias("_m"), block.alias("_b"), "_blocks")
+    low = sized.select(*group, F.col("_b").alias("_i"), "_m", F.explode(F.sequence(F.col("_b"), F.col("_blocks") - 1)).alias("_j"))
+    high = sized.select(*group, F.col("_b").alias("_j"), F.col("_m").alias("_o"), F.explode(F.sequence(F.lit(0), F.col("_b"))).alias("_i"))
+    # every two members meet once, in the cell of their blocks with the smaller number first
     return (
         low.join(high, [*group, "_i", "_j"])
-        .filter(F.col("_m") < F.col("_o"))
-        .select(*group, F.col("_m").alias("a"), F.col("_o").alias("b"))
+        .filter((F.col("_i") < F.col("_j")) | (F.col("_m") < F.col("_o")))
+        .select(*group, F.least("_m", "_o").alias("a"), F.greatest("_m", "_o").alias("b"))
     )
