@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-PIECE = r"(?s)[^.!?]{1,60}[.!?]*\s*|[.!?]+\s*"
+PIECE = r"(?s)[^.!?]{1,60}[.!?]*[ \t\n\x0B\f\r]*|[.!?]+[ \t\n\x0B\f\r]*"
 LEAF = 8
 #: Key of a null id, which comes before all others.
 NULL_KEY = -(2**63)

@@ -86,7 +86,26 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.scan(docs, secrets.fit(docs))
 
 
-@query("op8_fingerprints")
+OP8_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+e AS (SELECT doc_id, text, coalesce(lead(text) OVER w, first_value(text) OVER w) AS next_text FROM d WINDOW w AS (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+k AS (SELECT *, substr(text, 1, length(text) - length(text) // 4) || substr(next_text, 1, length(text) // 4) AS edited FROM e),
+t AS (SELECT doc_id, unnest([text, edited, next_text]) AS t, unnest([1, 2, 3]) AS which FROM k),
+f AS (SELECT doc_id, which,
+    sha256(array_to_string(list_transform(string_split(t, chr(10) || chr(10)), lambda s: sha256(array_to_string(list_transform(string_split(s, chr(10)), lambda p: sha256(p)), ''))), '')) AS root,
+    array_to_string(list_transform(string_split(t, chr(10) || chr(10)), lambda s: array_to_string(list_transform(string_split(s, chr(10)), lambda p:
+      array_to_string(list_transform(regexp_extract_all(p, '(?s)[^.!?]{1,60}[.!?]*[ \t\n\x0B\f\r]*|[.!?]+[ \t\n\x0B\f\r]*'), lambda x: substr(sha256(x), 1, 8)), '')), ',')), ';') AS leaves FROM t),
+g AS (SELECT doc_id, which, root || '|' || leaves AS fp, list_distinct(regexp_extract_all(leaves, '[0-9a-f]{8}')) AS own FROM f),
+p AS (SELECT x.doc_id, x.fp AS fingerprint, y.fp AS edited_fingerprint, z.fp AS next_fp, x.own AS a, y.own AS b, z.own AS c
+  FROM g x JOIN g y USING (doc_id) JOIN g z USING (doc_id) WHERE x.which = 1 AND y.which = 2 AND z.which = 3)
+SELECT k.doc_id, length(k.text) AS n_chars, sha256(k.edited) AS edited_sha256, fingerprint, edited_fingerprint,
+  CASE WHEN fingerprint = edited_fingerprint THEN 1.0 WHEN greatest(len(a), len(b)) = 0 THEN 0.0 ELSE len(list_intersect(a, b)) / greatest(len(a), len(b)) END::DOUBLE AS near_edited,
+  CASE WHEN fingerprint = next_fp THEN 1.0 WHEN greatest(len(a), len(c)) = 0 THEN 0.0 ELSE len(list_intersect(a, c)) / greatest(len(a), len(c)) END::DOUBLE AS near_next
+FROM k JOIN p USING (doc_id)
+"""
+
+
+@query("op8_fingerprints", OP8_SQL)
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return merkle.edited_fingerprints(table(spark, folder, "documents", "doc_id", "text"))
 
