@@ -11,6 +11,10 @@ distance.  Every window of a document that could be a leak is walked for several
 for several tables and looked up among the items; what collides is verified exactly by a
 bit-parallel edit distance.
 
+The walks of a long window drift apart, so a long item is looked up by pieces of at most PIECE
+words: if the whole is within the bound, so is at least one piece.  A piece that collides places the
+whole item, which is verified there.
+
 A window is skipped without a walk only if too few of its adjacent word pairs occur in any item: a
 word edit breaks at most two pairs, so no stretch within the bound is skipped.  The items are
 handled in blocks of bounded size, so what a task holds does not grow with the benchmark.
@@ -36,6 +40,8 @@ STRIDE = 16
 #: Random walks, samples of each, and places per sample: 36 tables of 3 places.  Measured recall in
 #: ``tests/llm/test_decontaminate.py``: above 0.95 at the full bound of 20 % edited words.
 WALKS, SAMPLES, PLACES = 6, 6, 3
+#: Longer items are looked up by equal pieces of at most so many words.
+PIECE = 50
 #: Items of fewer words say nothing about a leak and are not searched.
 LEAST_WORDS = 5
 CHUNK_CHARS = 1_500_000
@@ -117,18 +123,22 @@ class Items:
         self.pairs = np.array(sorted(pairs), np.int64)
         self.sets = [frozenset(r) for r in self.rows]
         self.most = [int(self.edits * len(r)) for r in self.rows]
-        lengths = sorted({len(r) for r in self.rows if len(r) >= LEAST_WORDS})
+        # pieces: item, word of the item where it begins, words
+        cuts = [(i, len(r), -(-len(r) // PIECE)) for i, r in enumerate(self.rows) if len(r) >= LEAST_WORDS]
+        pieces = [(i, n * k // many, n * (k + 1) // many - n * k // many) for i, n, many in cuts for k in range(many)]
+        self.piece_item, self.piece_at = (np.array([p[c] for p in pieces], np.int64) for c in (0, 1))
+        lengths = sorted({m for _, _, m in pieces})
         classes, self.classes = [], []
         for n in lengths:
             if not classes or n > classes[-1] * STEP:
                 classes.append(n)
         for n in classes:
-            own = [i for i, r in enumerate(self.rows) if n <= len(r) <= n * STEP]
-            need = max(1, n - 1 - 2 * max(self.most[i] for i in own))
-            keys = self.keys(np.array([self.rows[i][:n] for i in own], np.int64))
-            item = np.repeat(np.array(own), keys.shape[1])
+            own = [p for p, (_, _, m) in enumerate(pieces) if n <= m <= n * STEP]
+            need = max(1, n - 1 - 2 * max(int(self.edits * pieces[p][2]) for p in own))
+            keys = self.keys(np.array([self.rows[pieces[p][0]][pieces[p][1] :][:n] for p in own], np.int64))
+            piece = np.repeat(np.array(own), keys.shape[1])
             order = np.argsort(keys.ravel(), kind="stable")
-            self.classes.append((n, need, keys.ravel()[order], item[order]))
+            self.classes.append((n, need, keys.ravel()[order], piece[order]))
         return self
 
     def keys(self, rows: np.ndarray) -> np.ndarray:
@@ -175,8 +185,8 @@ class Items:
             flat[b : b + count[d]] = ids[first[d] : first[d] + count[d]]
             mark[b + 1 : b + 1 + count[d]] = pair[first[d] : first[d] + count[d]]
         sums = np.cumsum(mark)
-        met = [np.zeros(0, np.int64)]  # (document, item, start) in one number
-        for n, need, keys, items in self.classes:
+        met = [np.zeros(0, np.int64)]  # (document, piece, start) in one number
+        for n, need, keys, pieces in self.classes:
             starts = np.flatnonzero(sums[n - 1 : -1] - sums[: len(sums) - n] >= need)
             starts = starts[(starts + n <= len(flat)) & (starts % max(1, n // STRIDE) == 0)]
             if len(starts):
@@ -184,28 +194,29 @@ class Items:
                 lo, many = np.searchsorted(keys, probe, "left"), np.searchsorted(keys, probe, "right")
                 many -= lo
                 start = np.repeat(np.repeat(starts, len(probe) // len(starts)), many)
-                item = items[np.repeat(lo + many - np.cumsum(many), many) + np.arange(len(start))]
-                met.append(((np.searchsorted(begin, start, "right") - 1) * len(self.rows) + item) * len(flat) + start)
-        both, starts = np.divmod(np.unique(np.concatenate(met)), len(flat))
-        cuts = np.flatnonzero(np.diff(both, prepend=-1))
-        for pair_id, tries in zip(both[cuts].tolist(), np.split(starts, cuts[1:]), strict=False):
-            k, i = divmod(pair_id, len(self.rows))
-            d, row, spare = live[k], self.rows[i], self.most[i]
-            end_of = begin[k] + count[d]
-            best, last = None, -1
-            for s in tries.tolist():
-                a, b = max(begin[k], s - spare), min(end_of, s + len(row) + spare)
-                if b <= last:
-                    continue
-                stretch = flat[a:b].tolist()
-                if len(self.sets[i].difference(stretch)) > spare:  # each missing word is an edit
-                    continue
-                last = b
-                edits, end = edit_ends(row, stretch)
-                if edits <= spare and (best is None or edits < best[0]):
-                    best = edits, max(0, int(a - begin[k]) + end - len(row))
-            if best:
-                found[d].append((self.ids[i], best[0], len(row), best[1]))
+                piece = pieces[np.repeat(lo + many - np.cumsum(many), many) + np.arange(len(start))]
+                met.append(((np.searchsorted(begin, start, "right") - 1) * len(self.piece_item) + piece) * len(flat) + start)
+        # where the whole items may lie: (document, item) and a stretch, those that meet made one
+        both, start = np.divmod(np.unique(np.concatenate(met)), len(flat))
+        k, piece = np.divmod(both, len(self.piece_item))
+        item = self.piece_item[piece]
+        words, spare = np.array([len(r) for r in self.rows], np.int64)[item], np.array(self.most, np.int64)[item] + PIECE // 2
+        a, z = start - self.piece_at[piece] - spare, start - self.piece_at[piece] + words + spare
+        order = np.lexsort((a, item, k))
+        k, item, a, z = k[order], item[order], a[order], z[order]
+        both = k * len(self.rows) + item
+        cuts = np.flatnonzero((np.diff(both, prepend=-1) != 0) | (a > np.concatenate((a[:1], z[:-1]))))
+        a, z = np.maximum(a[cuts], begin[k[cuts]]), np.minimum(np.append(z[cuts[1:] - 1], z[-1:]), (begin + count[live])[k[cuts]])
+        best: dict[tuple[int, int], tuple[int, int]] = {}
+        for k, i, a, z in zip(k[cuts].tolist(), item[cuts].tolist(), a.tolist(), z.tolist(), strict=True):
+            row, spare, stretch = self.rows[i], self.most[i], flat[a:z].tolist()
+            if len(self.sets[i].difference(stretch)) > spare:  # each missing word is an edit
+                continue
+            edits, end = edit_ends(row, stretch)
+            if edits <= spare and ((k, i) not in best or edits < best[k, i][0]):
+                best[k, i] = edits, max(0, int(a - begin[k]) + end - len(row))
+        for (k, i), (edits, at) in best.items():
+            found[live[k]].append((self.ids[i], edits, len(self.rows[i]), at))
         return [sorted(x) for x in found]
 
 

@@ -71,3 +71,29 @@ def test_blocks_of_items_find_the_same(spark, monkeypatch):
     want = sorted(map(tuple, d.leaks(docs, items).collect()))
     monkeypatch.setattr(d, "BLOCK_ITEMS", 15)
     assert want and sorted(map(tuple, d.leaks(docs, items).collect())) == want
+
+
+WORDS = [f"w{i}" for i in range(3_000)]
+
+
+def mixed(item, edits, rnd):
+    """The item after so many replacements, insertions and deletions at random places."""
+    out = list(item)
+    for _ in range(edits):
+        p, kind = rnd.randrange(len(out)), rnd.randrange(3)
+        out[p : p + (kind != 1)] = [rnd.choice(WORDS)] * (kind != 2)
+    return out
+
+
+def recall(n, change, tries=60):
+    """Share of equally long items found in documents that hold them changed, at random places."""
+    rnd = random.Random(n)
+    items = [[rnd.choice(WORDS) for _ in range(n)] for _ in range(tries)]
+    index = d.Items(list(range(tries)), 0.2).build([" ".join(x) for x in items])
+    texts = [" ".join([rnd.choice(WORDS) for _ in range(rnd.randrange(300))] + change(x, int(0.2 * n), rnd) + WORDS[:60]) for x in items]
+    return sum(any(leak[0] == j for leak in index.search([t])[0]) for j, t in enumerate(texts)) / tries
+
+
+def test_recall_does_not_fall_with_length():
+    for n in (20, 50, 51, 76, 120, 200, 400):
+        assert recall(n, mixed) >= 0.95, n
