@@ -97,3 +97,16 @@ def recall(n, change, tries=60):
 def test_recall_does_not_fall_with_length():
     for n in (20, 50, 51, 76, 120, 200, 400):
         assert recall(n, mixed) >= 0.95, n
+
+
+def spread(item, edits, rnd):
+    """The item after so many replacements, each apart from the others: every one breaks two pairs."""
+    out = list(item)
+    for k in range(edits):
+        out[min(len(out) - 1, int((k + 0.5) * len(out) / edits))] = f"x{rnd.getrandbits(40)}"
+    return out
+
+
+def test_equally_long_items_with_spread_replacements():
+    for n in (20, 37, 50, 59, 76, 150, 400):
+        assert recall(n, spread) >= 0.9, n
