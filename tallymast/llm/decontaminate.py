@@ -1,7 +1,7 @@
 """Benchmark decontamination by CGK embedding and bit-sampling LSH over item-sized windows.
 
 Texts and benchmark items are compared as sequences of words (A-Z in lower case, ASCII punctuation
-and space dropped).  An item leaks into a document if some stretch of the document is within
+and space dropped; in scripts without spaces every character is a word).  An item leaks into a document if some stretch of the document is within
 ``edits`` x (words of the item) word insertions, deletions and replacements of it.
 
 The walk of Chakraborty, Goldenberg and Koucky turns a sequence into one of three times its length:
@@ -23,6 +23,7 @@ handled in blocks of bounded size, so what a task holds does not grow with the b
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import chain, repeat
@@ -43,7 +44,7 @@ STRIDE = 16
 WALKS, SAMPLES, PLACES = 6, 6, 3
 #: Longer items are looked up by equal pieces of at most so many words.
 PIECE = 40
-#: Items of fewer words say nothing about a leak and are not searched.
+#: Items of fewer words are searched as they are: one edit would be more than the bound.
 LEAST_WORDS = 5
 CHUNK_CHARS = 1_500_000
 
@@ -51,9 +52,15 @@ LEAK = "array<struct<item_id: bigint, edits: int, words: int, start_word: int>>"
 
 _TABLE = bytes(32 if b < 128 and not chr(b).isalnum() else b + 32 if 65 <= b <= 90 else b for b in range(256))
 
+#: Thai, Lao, Tibetan, Burmese, Khmer, kana, Han and Yi.
+_UNSPACED = re.compile("[\u0e01-\u0fff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3031-\u30fa\u30fc-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\ua4cf\uf900-\ufaff\uff66-\uff9f\U0001b000-\U0001b16f\U00020000-\U0003ffff]")
+
 
 def words_of(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "replace").translate(_TABLE).split()
+    text = text or ""
+    if not text.isascii():
+        text = _UNSPACED.sub(r" \g<0> ", text)
+    return text.encode("utf-8", "replace").translate(_TABLE).split()
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -81,6 +88,14 @@ def walk(rows: np.ndarray, bits: np.ndarray, steps: int) -> np.ndarray:
     return out
 
 
+def sequences(words: np.ndarray) -> np.ndarray:
+    """A hash of every column of word ids."""
+    h = np.zeros(words.shape[1], np.uint64)
+    for row in words:
+        h = _mix(h * np.uint64(0x9E3779B97F4A7C15) + row.astype(np.uint64) + np.uint64(1))
+    return h
+
+
 def edit_ends(item: list[int], stretch: list[int]) -> tuple[int, int]:
     """Least edit distance between the item and any part of the stretch, and where that part ends
     (the first such end), with all columns of the table held in the bits of one integer."""
@@ -124,6 +139,14 @@ class Items:
         self.pairs = np.array(sorted(pairs), np.int64)
         self.sets = [frozenset(r) for r in self.rows]
         self.most = [int(self.edits * len(r)) for r in self.rows]
+        # items too short for an edit, by their words: hashes and items
+        self.short = []
+        for n in range(1, LEAST_WORDS):
+            own = np.array([i for i, r in enumerate(self.rows) if len(r) == n], np.int64)
+            if len(own):
+                keys = sequences(np.array([self.rows[i] for i in own], np.int64).T)
+                order = np.argsort(keys, kind="stable")
+                self.short.append((n, keys[order], own[order]))
         # pieces: item, word of the item where it begins, words
         cuts = [(i, len(r), -(-len(r) // PIECE)) for i, r in enumerate(self.rows) if len(r) >= LEAST_WORDS]
         pieces = [(i, n * k // many, n * (k + 1) // many - n * k // many) for i, n, many in cuts for k in range(many)]
@@ -161,11 +184,24 @@ class Items:
         matches best ends, counted back by the item's words), best part per item."""
         found: list[list] = [[] for _ in texts]
         rows = [words_of(t) for t in texts]
-        if not self.classes:
-            return found
         count = np.array([len(r) for r in rows], np.int64)
         ids = np.fromiter(map(self.words.get, chain.from_iterable(rows), repeat(0)), np.int64, int(count.sum()))
         doc = np.repeat(np.arange(len(rows)), count)
+        first = np.cumsum(count) - count
+        for n, keys, items in self.short:
+            starts = np.flatnonzero(doc[: max(0, len(doc) - n + 1)] == doc[n - 1 :])
+            probe = sequences(np.stack([ids[starts + j] for j in range(n)]))
+            lo, many = np.searchsorted(keys, probe, "left"), np.searchsorted(keys, probe, "right")
+            many -= lo
+            start = np.repeat(starts, many)
+            item = items[np.repeat(lo + many - np.cumsum(many), many) + np.arange(len(start))]
+            # the first place of an item in a text
+            both, at = np.unique(doc[start] * len(self.rows) + item, return_index=True)
+            for k, i, p in zip((both // len(self.rows)).tolist(), (both % len(self.rows)).tolist(), start[at].tolist(), strict=True):
+                if ids[p : p + n].tolist() == self.rows[i]:
+                    found[k].append((self.ids[i], 0, n, p - int(first[k])))
+        if not self.classes:
+            return [sorted(x) for x in found]
         near = np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0) & (doc[:-1] == doc[1:]))
         key = ids[near] << 32 | ids[near + 1]
         at = np.minimum(np.searchsorted(self.pairs, key), max(0, len(self.pairs) - 1))
@@ -173,8 +209,7 @@ class Items:
         per_doc = np.bincount(doc[hit], minlength=len(rows))
         live = np.flatnonzero(per_doc >= min(need for _, need, _, _ in self.classes))
         if not len(live):
-            return found
-        first = np.cumsum(count) - count
+            return [sorted(x) for x in found]
         widest = max(n + n // STRIDE for n, _, _, _ in self.classes)
         # the documents that are left, each followed by a widest window of nothing
         size = count[live] + widest
@@ -254,8 +289,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, edits: float = 0.2) -> DataFram
     """One row per document and item that leaks into it: doc_id, item_id, edits (of the best part),
     words (of the item), start_word (about where the part begins).
 
-    Null and empty texts have no leaks and repeated rows the same ones; an item of fewer than
-    LEAST_WORDS words is not searched; a null item_id reads -1.
+    Null and empty texts have no leaks and repeated rows the same ones; of an item of fewer than
+    LEAST_WORDS words only copies leak, an item without words never does; a null item_id reads -1.
     """
     parts = [docs.select("doc_id", F.explode(_search("text", block)).alias("leak")).select("doc_id", "leak.*") for block in index_blocks(benchmark, edits)]
     out = parts[0]

@@ -110,3 +110,12 @@ def spread(item, edits, rnd):
 def test_equally_long_items_with_spread_replacements():
     for n in (20, 37, 50, 59, 76, 150, 400):
         assert recall(n, spread) >= 0.9, n
+
+
+def test_items_of_few_words_and_scripts_without_spaces():
+    long = "春眠不觉晓处处闻啼鸟夜来风雨声花落知多少"
+    index = d.Items([1, 2, 3, 4, 5], 0.2).build(["Short Item here", "solo", long, "ภาษาไทยไม่มีช่องว่าง", "  "])
+    found = lambda *texts: [[leak[:2] for leak in own] for own in index.search(list(texts))]
+    assert found("a short item, here is", "short item", "item here", "a solo b solo", "") == [[(1, 0)], [], [], [(2, 0)], []]
+    assert index.search(["a b solo solo"]) == [[(2, 0, 1, 2)]]
+    assert found("古诗" + long + "。", "x " + long.replace("鸟夜", "鸡夜") + " y", "这里ภาษาไทยไม่มีช่องว่าง", "春天来了") == [[(3, 0)], [(3, 1)], [(4, 0)], []]
