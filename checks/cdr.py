@@ -211,6 +211,15 @@ def _(v):
     return cdr.communication_profile(v.cdr_dense, cycles=cdr.call_cycles(v.call_links))
 
 
+@check("C7_communication_full", f"""
+WITH rep AS (SELECT subject, count(*) AS n FROM ({_REPEAT.replace('FROM calls', 'FROM calls_dense')} HAVING count(*) > 5) GROUP BY 1)
+SELECT subject, coalesce(n, 0) AS all_repeated_durations, least(coalesce(n, 0), 3) AS repeated_durations
+FROM (SELECT DISTINCT subject FROM calls_dense) LEFT JOIN rep USING (subject)""")
+def _(v):
+    profile = cdr.communication_profile(v.cdr_dense, cycles=cdr.call_cycles(v.call_links), full=True)
+    return profile.select("subject", "all_repeated_durations", "repeated_durations")
+
+
 @check("B1_daily_activity", """
 WITH d AS (SELECT subject, CAST(datetime AS DATE) AS day, count(*) AS calls FROM calls GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY day DESC) AS n FROM d),
@@ -270,3 +279,15 @@ SELECT subject, imei_count, imsi_count, imei_count >= 3 AS device_switching, ims
   round(weekend_pct, 4) AS weekend_pct FROM patterns""")
 def _(v):
     return cdr.cdr_patterns(v.cdr)
+
+
+_FULL = PATTERNS.replace(" AND p.n < 10", "").replace("least(count(*), 5)", "count(*)").replace("least(count(*), 10)", "count(*)")
+
+
+@check("B3_cdr_patterns_full", f"""
+WITH RECURSIVE {_FULL}
+SELECT subject, total, least(bursts, 10) AS bursts, least(repeated_durations, 5) AS repeated_durations, least(rapid_changes, 10) AS rapid_changes,
+  bursts AS all_bursts, repeated_durations AS all_repeated_durations, rapid_changes AS all_rapid_changes FROM patterns""")
+def _(v):
+    counts = ("bursts", "repeated_durations", "rapid_changes")
+    return cdr.cdr_patterns(v.cdr, full=True).select("subject", "total", *counts, *(f"all_{c}" for c in counts))

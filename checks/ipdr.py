@@ -220,6 +220,21 @@ def _(v):
     return ipdr.session_score(S(v))
 
 
+_ALL_PAIRS = f"""WITH {feat()}, {_CP}, cc AS (SELECT subject, count(*) AS n FROM cp GROUP BY 1)
+SELECT subject, coalesce(n, 0) AS all_concurrent_pairs, least(coalesce(n, 0), 10) AS concurrent_pairs
+FROM (SELECT DISTINCT subject FROM f) LEFT JOIN cc USING (subject)"""
+
+
+@check("I15_session_score_full", _ALL_PAIRS)
+def _(v):
+    return ipdr.session_score(S(v), full=True).select("subject", "all_concurrent_pairs", "concurrent_pairs")
+
+
+@check("I23_components_full", _ALL_PAIRS)
+def _(v):
+    return ipdr.ipdr_components(S(v), full=True).select("subject", "all_concurrent_pairs", "concurrent_pairs")
+
+
 _AU = "au AS (SELECT * FROM (SELECT subject, app, risk, count(*) AS sessions, count(*) * 100.0 / sum(count(*)) OVER (PARTITION BY subject) AS p FROM f GROUP BY 1, 2, 3) WHERE app IS NOT NULL)"
 
 

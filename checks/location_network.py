@@ -99,6 +99,18 @@ def _(v):
     return location.location_profile(v.cdr_dense, kmh=2000, wide=0.12)
 
 
+@check("L8_location_full", f"""
+WITH {_STEPS}, {_CLUST.replace('FROM calls', 'FROM calls_dense')},
+t AS (SELECT subject, count(*) AS n FROM st WHERE sec > 0 AND km > 0.1 AND km * 3600 / sec > 2000 GROUP BY 1),
+c AS (SELECT subject, count(*) AS m FROM cl GROUP BY 1),
+b AS (SELECT subject, count(*) AS fixes FROM calls_dense GROUP BY 1)
+SELECT subject, fixes, coalesce(n, 0) AS all_impossible, least(coalesce(n, 0), 5) AS impossible, coalesce(m, 0) AS all_clusters, least(coalesce(m, 0), 10) AS clusters
+FROM b LEFT JOIN t USING (subject) LEFT JOIN c USING (subject) WHERE fixes >= 2""")
+def _(v):
+    profile = location.location_profile(v.cdr_dense, kmh=2000, wide=0.12, full=True)
+    return profile.select("subject", "fixes", "all_impossible", "impossible", "all_clusters", "clusters")
+
+
 def _ids(v):
     return v.cdr.select("subject", F.col("a_party").alias("msisdn")).distinct()
 

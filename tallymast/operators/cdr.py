@@ -175,13 +175,22 @@ def voice_sms_profile(df: DataFrame, min_voice: int = 0) -> DataFrame:
     )
 
 
-def repeated_durations(df: DataFrame, more_than: int = 3, k: int = 5) -> DataFrame:
+def repeated_durations(df: DataFrame, more_than: int = 3, k: int | None = 5) -> DataFrame:
     """Voice durations that occur more than ``more_than`` times, top ``k`` of a subject (F4:
-    3 and 5, or 5 and 3)."""
+    3 and 5, or 5 and 3) or all of them, without rank."""
     counts = voice(df).filter(F.col("duration_seconds").isNotNull()).groupBy("subject", "duration_seconds").agg(
         F.count(F.lit(1)).alias("times")
     )
-    return top_k(counts.filter(F.col("times") > more_than), ["subject"], [F.desc("times"), "duration_seconds"], k)
+    often = counts.filter(F.col("times") > more_than)
+    return often if k is None else top_k(often, ["subject"], [F.desc("times"), "duration_seconds"], k)
+
+
+def listed(df: DataFrame, counts: dict[str, int], full: bool) -> DataFrame:
+    """Cuts count columns at the length of the reference's lists; ``full`` adds the whole counts as
+    ``all_...``."""
+    every = {c: F.coalesce(F.col(c), F.lit(0)) for c in counts}
+    whole = {f"all_{c}": n for c, n in every.items()} if full else {}
+    return df.withColumns(whole | {c: F.least(n, F.lit(counts[c])) for c, n in every.items()})
 
 
 def contact_counts(df: DataFrame) -> DataFrame:
@@ -279,13 +288,15 @@ def call_cycles(links: DataFrame, shortest: int = 3, longest: int = 5) -> DataFr
     )
 
 
-def communication_profile(df: DataFrame, cycles: DataFrame | None = None, min_voice: int = 10) -> DataFrame:
+def communication_profile(df: DataFrame, cycles: DataFrame | None = None, min_voice: int = 10, full: bool = False) -> DataFrame:
     """Level from voice-only use, cycles, voice share, dominant contact and signalling.
 
+    ``repeated_durations`` stops at 3 as the reference's list does; ``full`` adds
+    ``all_repeated_durations``.
     ``cycles`` may be passed in (from :func:`call_cycles`) because they are costly on a dense graph.
     """
     split = voice_sms_profile(df, min_voice).select("subject", "total", "voice_calls", "sms", "voice_pct", "voice_only")
-    repeated = repeated_durations(df, 5, 3).groupBy("subject").agg(F.count(F.lit(1)).alias("repeated_durations"))
+    repeated = repeated_durations(df, 5, None).groupBy("subject").agg(F.count(F.lit(1)).alias("repeated_durations"))
     dominant = top_contacts(df, 1).filter("dominant").select("subject", F.lit(True).alias("dominant_contact"))
     signals = one_ring(df).filter("signalling").select("subject", F.lit(True).alias("signalling"))
     cycles = call_cycles(distinct_links(df)) if cycles is None else cycles
@@ -293,15 +304,17 @@ def communication_profile(df: DataFrame, cycles: DataFrame | None = None, min_vo
     out = split
     for part in (repeated, dominant, signals, looped):
         out = out.join(part, "subject", "left")
+    out = listed(out, {"repeated_durations": 3}, full)
     no = lambda c: F.coalesce(F.col(c), F.lit(False))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     return out.select(
-        *split.columns, zero("repeated_durations").alias("repeated_durations"), no("dominant_contact").alias("dominant_contact"),
+        *split.columns, "repeated_durations", no("dominant_contact").alias("dominant_contact"),
         no("signalling").alias("signalling"), zero("cycles").alias("cycles"),
         level(
             (F.col("voice_only") | (zero("cycles") > 0), "HIGH"),
             ((F.col("voice_pct") > 90) | no("dominant_contact") | no("signalling"), "MEDIUM"),
         ).alias("level"),
+        *(["all_repeated_durations"] if full else []),
     )
 
 
@@ -334,11 +347,13 @@ def weekend_split(df: DataFrame) -> DataFrame:
                       pct(F.col("weekend_calls"), F.col("total")).alias("weekend_pct"))
 
 
-def cdr_patterns(df: DataFrame, tie: Sequence[str] = TIE) -> DataFrame:
+def cdr_patterns(df: DataFrame, tie: Sequence[str] = TIE, full: bool = False) -> DataFrame:
     """All pattern indicators of a subject in one row: the input of the risk scores.
 
     The indicators that are plain aggregates come from one pass over the records; only those
-    with another grouping or an order have passes of their own.
+    with another grouping or an order have passes of their own.  ``bursts``, ``repeated_durations``
+    and ``rapid_changes`` stop at 10, 5 and 10 as the reference's lists do, which the scores
+    need; ``full`` adds ``all_bursts``, ``all_repeated_durations`` and ``all_rapid_changes``.
     """
     from .location import rapid_cell_changes
 
@@ -354,13 +369,14 @@ def cdr_patterns(df: DataFrame, tie: Sequence[str] = TIE) -> DataFrame:
         "subject", "imei_count", "imsi_count", (F.col("imei_count") >= 3).alias("device_switching"), (F.col("imsi_count") > 1).alias("sim_swap"), "total",
         share("_odd", "odd_pct"), share("_days", "pattern_pct"), share("_weekend", "weekend_pct"), pct(F.col("_voice"), F.col("_voice") + F.col("_sms")).alias("voice_pct"),
         ((F.col("_sms") == 0) & (F.col("_voice") > 0)).alias("voice_only"), "tower_count", "tower_hopping")
-    bursts = keep_spaced(burst_candidates(df, tie=tie), "subject", "datetime", 300_000_000, 10, tie).groupBy("subject").agg(F.count(F.lit(1)).alias("bursts"))
-    repeated = repeated_durations(df).groupBy("subject").agg(F.count(F.lit(1)).alias("repeated_durations"))
+    bursts = keep_spaced(burst_candidates(df, tie=tie), "subject", "datetime", 300_000_000, None if full else 10, tie).groupBy("subject").agg(F.count(F.lit(1)).alias("bursts"))
+    repeated = repeated_durations(df, k=None).groupBy("subject").agg(F.count(F.lit(1)).alias("repeated_durations"))
     freq = contact_counts(df).groupBy("subject").agg(
         F.count(F.lit(1)).alias("contacts"), count_if(F.col("calls") > 20).alias("high_frequency_contacts"), count_if(F.col("calls") == 1).alias("single_call_contacts"))
-    rapid = rapid_cell_changes(df, tie=tie).groupBy("subject").agg(F.count(F.lit(1)).alias("rapid_changes"))
+    rapid = rapid_cell_changes(df, limit=None, tie=tie).groupBy("subject").agg(F.count(F.lit(1)).alias("rapid_changes"))
     daily = daily_activity(df).select("subject", "active_days", F.col("change").alias("activity_change"))
     out = base
     for part in (bursts, repeated, freq, rapid, daily):
         out = out.join(part, "subject", "left")
-    return out.fillna(0, ["bursts", "repeated_durations", "rapid_changes", "high_frequency_contacts", "single_call_contacts", "contacts"])
+    out = out.fillna(0, ["high_frequency_contacts", "single_call_contacts", "contacts"])
+    return listed(out, {"bursts": 10, "repeated_durations": 5, "rapid_changes": 10}, full)

@@ -284,12 +284,14 @@ def session_histogram(df: DataFrame) -> DataFrame:
     return df.groupBy("subject", "hour", "day_of_week").agg(F.count(F.lit(1)).alias("sessions"))
 
 
-def session_score(df: DataFrame, tie: Sequence[str] = TIE) -> DataFrame:
-    """The pair list stops at ten, so the count that enters the score does too."""
+def session_score(df: DataFrame, tie: Sequence[str] = TIE, full: bool = False) -> DataFrame:
+    """The pair list stops at ten, so the count that enters the score does too; ``full`` adds
+    ``all_concurrent_pairs``."""
     out = _join([
         session_stats(df).select("subject", "marathons", "frequent_marathons"), session_bursts(df).select("subject", "max_daily"),
         rapid_counts(df, tie=tie), concurrent_counts(df, tie=tie), session_calendar(df).select("subject", "day_concentration")])
-    rapid, pairs = F.coalesce("rapid", F.lit(0)), F.least(F.coalesce("pairs", F.lit(0)), F.lit(10))
+    rapid, every = F.coalesce("rapid", F.lit(0)), F.coalesce("pairs", F.lit(0))
+    pairs = F.least(every, F.lit(10))
     m = F.col("marathons")
     high = (F.col("frequent_marathons").cast("int") + (rapid > 10).cast("int") + (pairs > 5).cast("int")
             + F.col("day_concentration").cast("int"))
@@ -298,7 +300,7 @@ def session_score(df: DataFrame, tie: Sequence[str] = TIE) -> DataFrame:
         + points((pairs >= 10, 25), (pairs >= 5, 15)) + F.least(high * 15, F.lit(30))
         + points((F.col("max_daily") > 100, 10)), F.lit(100)).cast("int")
     return out.select("subject", "marathons", rapid.alias("rapid"), pairs.alias("concurrent_pairs"), "max_daily",
-                      score.alias("score"), _levels(score).alias("level"))
+                      score.alias("score"), _levels(score).alias("level"), *([every.alias("all_concurrent_pairs")] if full else []))
 
 
 # -- applications ------------------------------------------------------------------------
@@ -398,8 +400,9 @@ def app_score(df: DataFrame, tie: Sequence[str] = TIE) -> DataFrame:
 WEIGHTS = {"encryption": 0.30, "data": 0.25, "session": 0.25, "app": 0.20}
 
 
-def ipdr_components(df: DataFrame, tie: Sequence[str] = TIE) -> DataFrame:
-    """Score, level and the figures behind them for the four components.
+def ipdr_components(df: DataFrame, tie: Sequence[str] = TIE, full: bool = False) -> DataFrame:
+    """Score, level and the figures behind them for the four components; ``full`` adds
+    ``all_concurrent_pairs``, as ``concurrent_pairs`` stops at ten.
 
     Same results as the four score operators, with shared passes: one over the sessions of a
     subject, one over its days, one over its applications and ports, and those that need an
@@ -450,7 +453,7 @@ def ipdr_components(df: DataFrame, tie: Sequence[str] = TIE) -> DataFrame:
     app = cap(points((r >= 3, 25), (r >= 1, 15)) + points((u >= 10, 20), (u >= 5, 10)) + cap(c("_combos") * 10, 20) + cap(c("_odd_apps") * 5, 15)
               + cap(flag(c("_combos") > 0, c("_p2p") > 0) * 15, 30))
     scored = out.select(
-        "subject", "sessions", share.alias("encrypted_pct"), "odd_encrypted", "large_uploads", ratio.alias("ratio"), "marathons", pairs.alias("concurrent_pairs"),
+        "subject", "sessions", share.alias("encrypted_pct"), "odd_encrypted", "large_uploads", ratio.alias("ratio"), "marathons", pairs.alias("concurrent_pairs"), *([c("pairs").alias("all_concurrent_pairs")] if full else []),
         "high_risk_apps", "unknown_ports", *[x.cast("int").alias(f"{k}_score") for k, x in (("encryption", encryption), ("data", data), ("session", session), ("app", app))])
     return scored.select("*", *[_levels(c(f"{k}_score")).alias(f"{k}_level") for k in ("encryption", "data", "session", "app")])
 

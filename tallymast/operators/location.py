@@ -11,7 +11,7 @@ from .. import tables
 from ..functions.geo import haversine_km, speed_kmh
 from ..functions.scalar import count_if, level, pct, seconds_between
 from ..plans.shards import neighbours
-from .cdr import TIE, people, top_k
+from .cdr import TIE, listed, people, top_k
 
 
 def cell_profile(df: DataFrame, listed: int = 20, k: int = 10) -> DataFrame:
@@ -70,8 +70,9 @@ def impossible_travel(df: DataFrame, kmh: float = 200, min_km: float = 0.1, limi
     return out.drop(*tie)
 
 
-def location_clusters(df: DataFrame, least: int = 5, hotspot: float = 20, k: int = 10) -> DataFrame:
-    """Coordinates rounded to three decimals with at least ``least`` records.
+def location_clusters(df: DataFrame, least: int = 5, hotspot: float = 20, k: int | None = 10) -> DataFrame:
+    """Coordinates rounded to three decimals with at least ``least`` records, the top ``k`` of a
+    subject or all of them, without rank.
 
     Deviation F1: the dominant hour is that of the cluster itself."""
     rows = fixes(df).select("subject", F.round("lat", 3).alias("lat"), F.round("lon", 3).alias("lon"), F.hour("datetime").alias("hour"))
@@ -87,7 +88,7 @@ def location_clusters(df: DataFrame, least: int = 5, hotspot: float = 20, k: int
         F.when(share > hotspot, "HOTSPOT").otherwise("FREQUENT_LOCATION").alias("kind"),
         F.when(F.col("_peak.n") > F.col("calls") * 0.5, -F.col("_peak.neg")).alias("dominant_hour"),
     )
-    return top_k(out, ["subject"], [F.desc("calls"), "lat", "lon"], k)
+    return out if k is None else top_k(out, ["subject"], [F.desc("calls"), "lat", "lon"], k)
 
 
 def near_areas(df: DataFrame, areas: DataFrame | None = None, km: float = 50, high_km: float = 20) -> DataFrame:
@@ -124,13 +125,14 @@ def location_spread(df: DataFrame, wide: float = 0.5) -> DataFrame:
     return out.select("*", F.coalesce(F.col("spread") > wide, F.lit(False)).alias("wide_area"))
 
 
-def location_profile(df: DataFrame, kmh: float = 200, areas: DataFrame | None = None, wide: float = 0.5) -> DataFrame:
+def location_profile(df: DataFrame, kmh: float = 200, areas: DataFrame | None = None, wide: float = 0.5, full: bool = False) -> DataFrame:
     """HIGH for impossible travel or closeness to a listed point, MEDIUM for a wide area;
-    subjects with fewer than two fixes have no level."""
+    subjects with fewer than two fixes have no level.  ``impossible`` and ``clusters`` stop at 5
+    and 10 as the reference's lists do; ``full`` adds ``all_impossible`` and ``all_clusters``."""
     base = location_spread(df, wide)
-    travel = impossible_travel(df, kmh).groupBy("subject").agg(F.count(F.lit(1)).alias("impossible"))
+    travel = impossible_travel(df, kmh, limit=None).groupBy("subject").agg(F.count(F.lit(1)).alias("impossible"))
     near = near_areas(df, areas).groupBy("subject").agg(F.count(F.lit(1)).alias("areas"))
-    clusters = location_clusters(df).groupBy("subject").agg(F.count(F.lit(1)).alias("clusters"))
+    clusters = location_clusters(df, k=None).groupBy("subject").agg(F.count(F.lit(1)).alias("clusters"))
     out = base.join(travel, "subject", "left").join(near, "subject", "left").join(clusters, "subject", "left")
-    out = out.fillna(0, ["impossible", "areas", "clusters"]).filter("fixes >= 2")
+    out = listed(out, {"impossible": 5, "clusters": 10}, full).fillna(0, ["areas"]).filter("fixes >= 2")
     return out.select("*", level(((F.col("impossible") > 0) | (F.col("areas") > 0), "HIGH"), (F.col("wide_area"), "MEDIUM")).alias("level"))

@@ -27,29 +27,31 @@ def first_buckets(df: DataFrame, key: str, ts: str, bucket_us: int, n: int) -> D
     return rows.join(keep, [key, "_bucket"], "left_semi").drop("_bucket")
 
 
-def keep_spaced(df: DataFrame, key: str, ts: str, gap_us: int, limit: int, tie: Sequence[str] = ()) -> DataFrame:
+def keep_spaced(df: DataFrame, key: str, ts: str, gap_us: int, limit: int | None, tie: Sequence[str] = ()) -> DataFrame:
     """Greedy thinning: keep a row only if it is at least ``gap_us`` after the last kept one.
 
     Two neighbouring non-empty buckets of ``gap_us`` always hold a pick, so the first
-    ``limit`` picks lie in the first ``2 * limit`` non-empty buckets.
+    ``limit`` picks lie in the first ``2 * limit`` non-empty buckets.  Without a limit the rows
+    are cut where a gap is longer than ``gap_us``: the row behind it is always kept.
     """
-    near = first_buckets(df, key, ts, gap_us, 2 * limit)
-    rows = near.withColumn("_us", us(ts)).repartition(key).sortWithinPartitions(key, "_us", *tie)
+    keys = [key] if limit is not None else [key, "island"]
+    near = first_buckets(df, key, ts, gap_us, 2 * limit) if limit is not None else with_island(df, ts, gap_us, [key])
+    rows = near.withColumn("_us", us(ts)).repartition(*keys).sortWithinPartitions(*keys, "_us", *tie)
 
     def fold(batches):
         current, last, kept = None, None, 0
         for pdf in batches:
             mask = []
-            for k, at in zip(pdf[key], pdf["_us"]):
+            for *k, at in zip(*(pdf[c] for c in keys), pdf["_us"]):
                 if k != current:
                     current, last, kept = k, None, 0
-                take = kept < limit and (last is None or at - last >= gap_us)
+                take = (limit is None or kept < limit) and (last is None or at - last >= gap_us)
                 if take:
                     last, kept = at, kept + 1
                 mask.append(take)
             yield pdf[mask]
 
-    return rows.mapInPandas(fold, rows.schema).drop("_us")
+    return rows.mapInPandas(fold, rows.schema).drop("_us", *keys[1:])
 
 
 def keep_skipping(df: DataFrame, key: str, ts: str, number: str, size: str, span_us: int, limit: int) -> DataFrame:
