@@ -44,15 +44,19 @@ def some_texts(docs: DataFrame, most: int) -> DataFrame:
     return hashed.where(F.col("h") <= F.lit(0 if last is None else last)).groupBy("h").agg(F.min("text").alias("text"))
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as a Parquet table in the shared checkpoint folder and read again: later steps
-    neither repeat the work nor lose it with an executor, and read only the columns they need."""
-    spark = df.sparkSession
+def new_folder(spark: SparkSession, name: str) -> str:
+    """Path of a folder not there yet, below the shared folder that ``spark.checkpoint.dir`` names."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
         shared = tempfile.mkdtemp(prefix="tallymast-llm-")
-    path = f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as a Parquet table in the shared checkpoint folder and read again: later steps
+    neither repeat the work nor lose it with an executor, and read only the columns they need."""
+    path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html, merkle, ngram_jaccard, pii, quality, secrets, sentencepiece, toxicity, urls
-from .common import held_out, table
+from . import decontaminate, html, merkle, ngram_jaccard, pii, quality, runs, secrets, sentencepiece, toxicity, urls, warc, whitening
+from .common import held_out, new_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -138,3 +138,52 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents", "doc_id", "text")
     found = docs.select("doc_id", pii.spans("text", pii.fit(docs)).alias("found"))
     return found.select("doc_id", *pii.digest("found"))
+
+
+OP11_SQL = r"""
+WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
+    list_transform(range(8 * length(doc_id::VARCHAR)), lambda i: CASE WHEN i % 8 = 0 THEN ascii(substr(doc_id::VARCHAR, (i // 8 + 1)::INT, 1)) ELSE 0 END::BIGINT) AS bits FROM documents),
+h AS (SELECT doc_id, ws, len(ws) AS n, xor(4294967295, list_reduce(bits, lambda c, b: xor(xor(c, b) >> 1, 3988292384 * (xor(c, b) & 1)), 4294967295)) AS h FROM t),
+g AS (SELECT *, h // 10 AS g, CASE WHEN h % 10 = 0 AND n > 0 THEN (h // 10) % n END AS a FROM h),
+w AS (SELECT doc_id, n, CASE WHEN a IS NULL THEN ws ELSE list_transform(range(n), lambda i: ws[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END]) END AS ws FROM g),
+k AS (SELECT doc_id, i, array_to_string(ws[i + 1:i + 16], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(n - 15)) AS i FROM w WHERE n >= 24)),
+m AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM k x JOIN k y ON x.doc_id = y.doc_id AND x.k = y.k AND x.i < y.i),
+s AS (SELECT doc_id, q, min(i) AS s, max(i) + 16 + q AS e FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM m) GROUP BY doc_id, q, island),
+c AS (SELECT * FROM s WHERE e - s >= greatest(24, 3 * q)),
+r AS (SELECT doc_id, s, e - s AS n, q FROM c WHERE NOT EXISTS (SELECT 1 FROM s AS o WHERE o.doc_id = c.doc_id AND o.q < c.q AND o.s <= c.s AND o.e >= c.e)),
+f AS (SELECT doc_id, count(*) AS n_runs, list(s || ',' || n || ',' || q || chr(10) ORDER BY s, q) AS lines FROM r GROUP BY doc_id),
+b AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n::DOUBLE / q DESC, s, q) = 1),
+d AS (SELECT doc_id, list(DISTINCT i) AS gone FROM (SELECT doc_id, unnest(range(s + q, s + n)) AS i FROM r) GROUP BY doc_id),
+o AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS text FROM (SELECT doc_id, unnest(ws) AS x, unnest(range(n)) AS i FROM w) LEFT JOIN (SELECT doc_id, unnest(gone) AS i, TRUE AS g FROM d) USING (doc_id, i) WHERE g IS NULL GROUP BY doc_id)
+SELECT w.doc_id, coalesce(n_runs, 0) AS n_runs, b.s AS start, b.n AS length, b.q AS period, 1000 * b.n // b.q AS exponent_milli,
+  sha256(coalesce(array_to_string(lines, ''), '')) AS runs_sha256, sha256(coalesce(o.text, '')) AS collapsed_sha256
+FROM w LEFT JOIN f USING (doc_id) LEFT JOIN b USING (doc_id) LEFT JOIN o USING (doc_id)
+"""
+
+
+@query("op11_periodic_runs", OP11_SQL)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    docs = runs.with_loops(table(spark, folder, "documents", "doc_id", "text"))
+    return runs.periodic_runs(docs).select("doc_id", *runs.digest())
+
+
+@query("op12_whitening")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(table(spark, folder, "embeddings", "vec_id", "embedding"))
+
+
+#: Five hexadecimal digits of the SHA-1 are twenty bits, four digits of base 32.
+OP13_SQL = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, octet_length(encode(html)) AS payload_bytes, sha1(html) AS sha FROM p),
+b AS (SELECT page_id, payload_bytes, max(page_id) OVER (PARTITION BY sha) AS top,
+  array_to_string(list_transform(range(8), lambda k: array_to_string(list_transform(range(4), lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (('0x' || substr(sha, (1 + 5 * k)::INT, 5))::INT >> (15 - 5 * j)::INT) % 32, 1)), '')), '') AS payload_digest FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id < top THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < top THEN top END AS refers_to FROM b
+"""
+
+
+@query("op13_warc", OP13_SQL)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    archives = new_folder(spark, "warc")
+    warc.write_archives(warc.revisits(table(spark, folder, "pages", "page_id", "url", "html")), archives)
+    return warc.pages_of(warc.read_archives(spark, archives)).drop("verified", "error")
