@@ -107,7 +107,8 @@ class Writer(DataSourceArrowWriter):
             for k in range(batch.num_rows):
                 if out is None:
                     names.append(f"part-{uuid.uuid4().hex}.warc.gz")
-                    out, size = system.open_output_stream(f"{folder}/{names[-1]}"), 0
+                    # no compression by the file's name: members are compressed here
+                    out, size = system.open_output_stream(f"{folder}/{names[-1]}", compression=None), 0
                 row = {name: column[k].as_py() for name, column in zip(batch.schema.names, batch.columns)}
                 member = zlib.compressobj(self.level, zlib.DEFLATED, 31)
                 pieces = [member.compress(piece) for piece in record(row, date)]
@@ -296,7 +297,7 @@ class Reader(DataSourceReader):
         schema = pa.schema([(c.split()[0], KINDS[c.split()[1]]) for c in READ.split(", ")])
         rows, size = [], 0
         for path in partition.value:
-            with system.open_input_stream(path) as stream:
+            with system.open_input_stream(path, compression=None) as stream:
                 for row in records(stream, self.payload):
                     rows.append({"archive": path, **row})
                     size += len(row.get("payload") or b"")
@@ -307,8 +308,8 @@ class Reader(DataSourceReader):
 
 
 class Warc(DataSource):
-    """Options: ``payload`` (read payloads too, false by default), ``partitionBytes`` (128 MB of archives a
-    task of the reader), ``archiveBytes`` (64 MB), ``level`` (of compression, 6)."""
+    """Options: ``payload`` (read payloads too, false by default), ``partitionBytes`` (16 MB of archives a
+    task of the reader, a larger archive being a task of its own), ``archiveBytes`` (64 MB), ``level`` (of compression, 6)."""
 
     @classmethod
     def name(cls) -> str:
@@ -318,7 +319,7 @@ class Warc(DataSource):
         return READ
 
     def reader(self, schema) -> Reader:
-        return Reader(self.options["path"], self.options.get("payload", "false") == "true", int(self.options.get("partitionBytes", 1 << 27)))
+        return Reader(self.options["path"], self.options.get("payload", "false") == "true", int(self.options.get("partitionBytes", 1 << 24)))
 
     def writer(self, schema, overwrite: bool) -> Writer:
         return Writer(self.options["path"], overwrite, int(self.options.get("archiveBytes", 1 << 26)), int(self.options.get("level", 6)))
