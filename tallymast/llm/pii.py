@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import some_texts
@@ -45,6 +45,17 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def checked(text: str) -> Iterator[tuple[int, str, int, bool]]:
+    """(start, kind, end, whether its check holds) of the matches of all patterns with a check."""
+    for m in _IP.finditer(text):
+        yield m.start(), "ip", m.end(), all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m.group().split("."))
+    for m in _CARD.finditer(text):
+        digits = m.group().replace(" ", "").replace("-", "")
+        yield m.start(), "card", m.end(), 14 <= len(digits) <= 19 and luhn(digits)
+    for m in _PHONE.finditer(text):
+        yield m.start(), "phone", m.end(), 10 <= len(_DIGITS.findall(m.group())) <= 15
+
+
 def base_spans(text: str) -> list[tuple[int, str, int]]:
     """(start, kind, end) of the base spans, by start, then kind as listed."""
     out, last, at = [], 0, text.find("@")
@@ -57,16 +68,7 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
             out.append((a, 0, m.end()))
             last = m.end()
         at = text.find("@", max(at + 1, last))
-    for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m.group().split(".")):
-            out.append((m.start(), 1, m.end()))
-    for m in _CARD.finditer(text):
-        digits = m.group().replace(" ", "").replace("-", "")
-        if 14 <= len(digits) <= 19 and luhn(digits):
-            out.append((m.start(), 2, m.end()))
-    for m in _PHONE.finditer(text):
-        if 10 <= len(_DIGITS.findall(m.group())) <= 15:
-            out.append((m.start(), 3, m.end()))
+    out += [(a, KINDS.index(k), b) for a, k, b, holds in checked(text) if holds]
     return [(a, KINDS[k], b) for a, k, b in sorted(out)]
 
 
@@ -214,8 +216,8 @@ class Tagger:
 
     def viterbi(self, e: np.ndarray) -> np.ndarray:
         trans = self.weights["t"]
-        if not (e[:, 1:].max(axis=1) > e[:, 0] - 2 * np.abs(trans).max()).any():
-            return np.zeros(len(e), np.int64)  # no label but the first can pay for its transitions
+        if not (e[:, 1:].max(axis=1) > e[:, 0] - 4 * np.abs(trans).max()).any():
+            return np.zeros(len(e), np.int64)  # no label but the first can pay for the two transitions it changes
         back, score = np.zeros(e.shape, np.int64), e[0]
         for t in range(1, len(e)):
             step = score[:, None] + trans
@@ -228,7 +230,8 @@ class Tagger:
         return path
 
     def added(self, texts: list[str], base: list[list[tuple[int, str, int]]]) -> list[list[tuple[int, str, int]]]:
-        """Spans the network finds in each text that touch no base span."""
+        """Spans the network finds in each text that touch no base span and nothing that the check of their own
+        kind refuses: a number that fails its check digit is no card, whatever it looks like."""
         found: list[list] = [[] for _ in texts]
         where, parts = [], []
         for k, text in enumerate(texts):
@@ -247,7 +250,8 @@ class Tagger:
                     while j < len(path) and path[j] == path[i] + 1:
                         j += 1
                     span = a + i, KINDS[kind], a + j
-                    if j - i >= 6 and _CENTRE.search(texts[k], *span[::2]) and not any(s < span[2] and span[0] < e for s, _, e in base[k]):
+                    known = base[k] + [(s, own, e) for s, own, e, holds in checked(texts[k]) if own == span[1] and not holds]
+                    if j - i >= 6 and _CENTRE.search(texts[k], *span[::2]) and not any(s < span[2] and span[0] < e for s, _, e in known):
                         found[k].append(span)
                     i = j
                 else:
@@ -255,39 +259,47 @@ class Tagger:
         return found
 
 
+def windows_of(text: str, draw: np.random.RandomState) -> Iterator[tuple[str | None, np.ndarray, np.ndarray]]:
+    """(kind, classes, labels) of a window around every span of a whole text, and around two digits or
+    at-signs outside all spans, each at a random place of its window."""
+    spans = base_spans(text)
+    starts, stops = np.array([a for a, _, _ in spans], np.int64), np.maximum.accumulate(np.array([b for _, _, b in spans] or [0], np.int64))
+    inside = lambda p: (k := int(np.searchsorted(starts, p, "right"))) > 0 and p < stops[k - 1]
+    other = [(m.start(), None, m.end()) for m in _CENTRE.finditer(text) if not inside(m.start())]
+    centres = [*spans, *(other[i] for i in draw.permutation(len(other))[:2])]
+    if not centres:
+        return
+    coded, gold = classes(text), np.zeros(len(text), np.int64)
+    for a, k, b in spans:
+        label = 1 + 2 * KINDS.index(k)
+        gold[a], gold[a + 1 : b] = label, label + 1
+    for a, k, b in centres:
+        s = max(0, min(a, a - draw.randint(0, max(1, WINDOW - (b - a)))))
+        row, lab = np.full(WINDOW, PAD, np.int16), np.zeros(WINDOW, np.int64)
+        piece = coded[s : s + WINDOW]
+        row[: len(piece)], lab[: len(piece)] = piece, gold[s : s + WINDOW]
+        yield k, row, lab
+
+
 def labelled_windows(texts: list[str], most: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Windows and their labels: at most ``most`` around spans of each kind and as many around digits
-    and at-signs outside all spans, each at a random place of its window."""
-    draw = np.random.RandomState(seed)
-    count = dict.fromkeys((*KINDS, None), 0)
-    x, y = [], []
+    """Windows and their labels of ``texts``, at most ``most`` of each kind and of none."""
+    draw, count, x, y = np.random.RandomState(seed), dict.fromkeys((*KINDS, None), 0), [], []
     for text in texts:
-        spans = base_spans(text)
-        inside = lambda p: any(a <= p < b for a, _, b in spans)  # noqa: E731, B023
-        other = [(m.start(), None, m.end()) for m in _CENTRE.finditer(text) if not inside(m.start())]
-        centres = [*spans, *(other[i] for i in draw.permutation(len(other))[:2])]
-        if not any(count[k] < most for _, k, _ in centres):
-            continue
-        coded = classes(text)
-        gold = np.zeros(len(text), np.int64)
-        for a, k, b in spans:
-            label = 1 + 2 * KINDS.index(k)
-            gold[a], gold[a + 1 : b] = label, label + 1
-        for a, k, b in centres:
-            if count[k] < most:
-                count[k] += 1
-                s = max(0, min(a, a - draw.randint(0, max(1, WINDOW - (b - a)))))
-                row, lab = np.full(WINDOW, PAD, np.int16), np.zeros(WINDOW, np.int64)
-                piece = coded[s : s + WINDOW]
-                row[: len(piece)], lab[: len(piece)] = piece, gold[s : s + WINDOW]
+        for kind, row, lab in windows_of(text, draw):
+            if count[kind] < most:
+                count[kind] += 1
                 x.append(row)
                 y.append(lab)
     return np.array(x, np.int16).reshape(-1, WINDOW), np.array(y, np.int64).reshape(-1, WINDOW)
 
 
 def train(texts: list[str], hidden: int = 12, updates: int = 500, rows: int = 64, rate: float = 0.02, most: int = MOST_WINDOWS, seed: int = 11) -> Tagger | None:
-    """A tagger from spans that the patterns label in ``texts`` (Adam); None without any span."""
-    x, y = labelled_windows(texts, most, seed)
+    """A tagger from spans that the patterns label in ``texts``; None without any span."""
+    return train_windows(*labelled_windows(texts, most, seed), hidden, updates, rows, rate, seed)
+
+
+def train_windows(x: np.ndarray, y: np.ndarray, hidden: int = 12, updates: int = 500, rows: int = 64, rate: float = 0.02, seed: int = 11) -> Tagger | None:
+    """A tagger from labelled windows (Adam); None without any span."""
     if not y.any():
         return None
     tagger, draw = Tagger.fresh(hidden, seed), np.random.RandomState(seed)
@@ -308,11 +320,24 @@ def train(texts: list[str], hidden: int = 12, updates: int = 500, rows: int = 64
     return tagger
 
 
-def fit(docs: DataFrame, most: int = MOST_DOCS, **options) -> Tagger | None:
-    """A tagger trained on at most ``most`` texts with a digit or at-sign, those of the smallest hash, of
-    which the first 20,000 characters each: training holds windows, and few of a text."""
-    chosen = some_texts(docs.where(F.col("text").rlike("[0-9@]")), most).select("h", F.substring("text", 1, 20_000).alias("text"))
-    return train([r[1] for r in chosen.orderBy("h").toLocalIterator()], **options)
+def fit(docs: DataFrame, most: int = MOST_DOCS, windows: int = MOST_WINDOWS, seed: int = 11, **options) -> Tagger | None:
+    """A tagger trained on whole texts, at most ``most`` with a digit or at-sign, those of the smallest hash,
+    and on at most ``windows`` windows of each kind and of none from them.  Tasks cut the windows; the driver
+    gets those alone."""
+    chosen = some_texts(docs.where(F.col("text").rlike("[0-9@]")), most)
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for h, text in zip(batch["h"], batch["text"]):
+                found = list(windows_of(text, np.random.RandomState((h ^ seed) % 2**32)))
+                yield pd.DataFrame({"h": h, "n": range(len(found)), "kind": [k or "" for k, _, _ in found], "x": [x.tobytes() for _, x, _ in found], "y": [y.tobytes() for _, _, y in found]})
+
+    place = Window.partitionBy("kind").orderBy(F.xxhash64("h", "n"), "h", "n")
+    rows = chosen.mapInPandas(cut, "h long, n long, kind string, x binary, y binary").withColumn("place", F.row_number().over(place))
+    kept = sorted(rows.where(F.col("place") <= windows).select("h", "n", "x", "y").collect())
+    x = np.frombuffer(b"".join(r["x"] for r in kept), np.int16).reshape(-1, WINDOW)
+    y = np.frombuffer(b"".join(r["y"] for r in kept), np.int64).reshape(-1, WINDOW)
+    return train_windows(x, y, seed=seed, **options)
 
 
 _SPANS = "array<struct<kind: string, start: int, stop: int, base: boolean>>"

@@ -51,6 +51,43 @@ def test_network_learns_the_spans_and_base_spans_stay():
         assert not any(a < e and s < b for a, _, b in own for s, _, e in more)
 
 
+def test_paths_are_the_best_of_all():
+    """Viterbi and its way out against trying every path, with transitions as large as the emissions."""
+    import itertools
+
+    import numpy as np
+
+    draw = np.random.RandomState(5)
+    tagger = pii.Tagger.fresh(3, 1)
+    for _ in range(60):
+        e, t = draw.normal(0, 1, (4, pii.LABELS)), draw.normal(0, draw.choice([0.1, 1, 3]), (pii.LABELS, pii.LABELS))
+        e[:, 0] += draw.choice([0, 3, 9])
+        tagger.weights["t"] = t
+        score = lambda p: sum(e[k, a] for k, a in enumerate(p)) + sum(t[a, b] for a, b in zip(p, p[1:]))  # noqa: E731, B023
+        best = max(itertools.product(range(pii.LABELS), repeat=4), key=score)
+        assert tuple(tagger.viterbi(e)) == best
+
+
+def test_what_a_check_refuses_is_not_added(spark):
+    """Numbers that look like cards and fail their check digit, in a corpus of such that hold."""
+    rnd = random.Random(10)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(rnd.randrange(2, 8)))
+
+    def number(holds):
+        while True:
+            digits = "".join(rnd.choice("0123456789") for _ in range(16))
+            if pii.luhn(digits) == holds:
+                return digits
+
+    texts = [" ".join([word() for _ in range(rnd.choice([5, 4000]))] + [number(True), word()]) for _ in range(120)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    tagger = pii.fit(docs, updates=150)  # spans behind 20,000 characters count too
+    wrong = [f"{word()} {number(False)} {word()}" for _ in range(50)]
+    assert pii.Tagger.added(tagger, wrong, [[] for _ in wrong]) == [[] for _ in wrong]
+    right = [f"{word()} {number(True)} {word()}" for _ in range(50)]
+    assert sum(map(bool, tagger.added(right, [[] for _ in right]))) > 40
+
+
 def test_gradient_is_that_of_the_likelihood():
     import numpy as np
 
