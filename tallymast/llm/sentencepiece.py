@@ -1,7 +1,8 @@
 """SentencePiece encoding and decoding by suffix-array matching.
 
 A batch of texts is cut where two neighbouring characters lie together in no piece, as no piece and
-no merge crosses such a place, and every stretch a worker has not seen goes into one indexed text.  Its suffix array is built by
+no merge crosses such a place, and every stretch that a worker does not remember goes into one indexed text
+(words come back, so most are remembered: some 300,000 are, see ``REMEMBERED``).  Its suffix array is built by
 prefix doubling, up to the length of the longest piece; all pieces are binary-searched in it at
 once, which gives the range of suffixes each occurs at.  The occurrences are the edges of a graph
 over positions: sorted by position, they are relaxed from left to right, one position of all
@@ -20,7 +21,8 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,8 +30,10 @@ from pyspark.sql import functions as F
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 NORMAL, UNKNOWN, BYTE, UNIGRAM, BPE = 1, 2, 6, 1, 2
-#: Stretches a worker remembers, about.
+#: Stretches a worker remembers, about: so many met last, and as many met before that.
 REMEMBERED = 200_000
+#: Bytes of texts that are cut and matched together; a longer text is taken alone.
+CHARS = 4_000_000
 
 _PREPARED: dict[int, dict] = {}
 
@@ -39,6 +43,15 @@ def _as_bytes(rows: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(rows).view(f"S{2 * rows.shape[1]}").ravel()
 
 
+def _runs(sizes: np.ndarray, most: int) -> Iterator[int]:
+    """How many entries at a time have a sum of about ``most``, at least one."""
+    total, at = np.cumsum(sizes, dtype=np.int64), 0
+    while at < len(sizes):
+        end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + most, "right")))
+        yield end - at
+        at = end
+
+
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
     """(number, value) of the fields of a protocol-buffer message."""
     at = 0
@@ -131,9 +144,11 @@ class Pieces:
         for i, (p, k) in enumerate(named):
             if k == BYTE:
                 surfaces[i] = chr(int(p[3:5], 16)) if int(p[3:5], 16) < 128 else None
+        plain = [bytes([int(p[3:5], 16)]) if k == BYTE else (t or "").encode() for (p, k), t in zip(named, surfaces, strict=True)]
         return {
+            "surface_bytes": np.frombuffer(b"".join(plain), np.uint8), "surface_starts": np.concatenate(([0], np.cumsum([len(b) for b in plain]))),
             "longer": np.array(longer, np.int64) + 1, "lower": lower, "upper": upper, "single": single, "surfaces": surfaces, "ids": ids, "byte_ids": {int(p[3:5], 16): i for i, (p, k) in enumerate(named) if k == BYTE}, "unknown": next((i for i, k in enumerate(self.kinds) if k == UNKNOWN), 0),
-            "all": list(ids), "length": np.array([0, *map(len, ids)], np.int64), "number_to_id": np.array([-1, *ids.values()], np.int64), "place": place, "joined": joined, "born": born, "halves": {}, "known": {}, "pair_keys": np.zeros(0, np.int64), "pair_fit": np.zeros(0, bool),
+            "all": list(ids), "length": np.array([0, *map(len, ids)], np.int64), "number_to_id": np.array([-1, *ids.values()], np.int64), "place": place, "joined": joined, "born": born, "halves": {}, "known": {}, "older": {}, "pair_keys": np.zeros(0, np.int64), "pair_fit": np.zeros(0, bool),
         }
 
     def stretches(self, text: str) -> list[str]:
@@ -208,11 +223,11 @@ class Pieces:
         for h in range((width - 1).bit_length()):
             after = np.full(len(rank), -1, np.int64)
             after[: max(0, len(rank) - (1 << h))] = rank[1 << h :]
-            order = np.lexsort((after, rank))
-            step = np.ones(len(rank), bool)
-            step[1:] = (rank[order][1:] != rank[order][:-1]) | (after[order][1:] != after[order][:-1])
+            both = rank * (int(rank.max(initial=0)) + 2) + after + 1
+            order = np.argsort(both)
+            both = both[order]
             new = np.empty(len(rank), np.int64)
-            new[order] = np.cumsum(step)
+            new[order] = np.cumsum(np.concatenate(([True], both[1:] != both[:-1]))[: len(rank)])
             rank = new
         padded = np.concatenate((codes, np.zeros(width, codes.dtype))).astype(">u2")
         suffixes = _as_bytes(np.lib.stride_tricks.sliding_window_view(padded, width)[order])
@@ -271,12 +286,15 @@ class Pieces:
             at, own = at[more], own[more]
         owners, found = (np.concatenate(x[::-1]) for x in zip(*steps, strict=True))
         order = np.argsort(owners, kind="stable")
-        found, cuts = found[order].astype(np.int32), np.cumsum(np.bincount(owners, minlength=len(size))).tolist()
-        for s, a, b in zip(stretches, [0, *cuts], cuts, strict=False):
-            ids = found[a:b]
-            if ids.min() < 0:
-                ids = np.array([i for x in ids.tolist() for i in ((x,) if x >= 0 else self.spelled(chr(-1 - x)))], np.int32)
-            self.known[s] = ids.tobytes()  # a quarter of what a list takes
+        found, cuts = found[order].astype(np.int32), np.cumsum(np.bincount(owners, minlength=len(size)))
+        spelled = np.minimum.reduceat(found, cuts - np.diff(cuts, prepend=0)) < 0
+        data, known, low = found.tobytes(), self.known, 0  # bytes take a quarter of what a list takes
+        for s, high in zip(stretches, (4 * cuts).tolist(), strict=True):
+            known[s] = data[low:high]
+            low = high
+        for k in np.flatnonzero(spelled).tolist():
+            ids = [i for x in np.frombuffer(known[stretches[k]], np.int32).tolist() for i in ((x,) if x >= 0 else self.spelled(chr(-1 - x)))]
+            known[stretches[k]] = np.array(ids, np.int32).tobytes()
 
     def spelled(self, char: str) -> list[int]:
         """Ids of a character without a piece."""
@@ -286,14 +304,50 @@ class Pieces:
         """Ids of every text; empty for a null or empty one."""
         self.prepared()
         cut = [self.stretches((SPACE if self.dummy_prefix else "") + t.replace(" ", SPACE)) if t else [] for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        known = self.known
-        new = list({s for own in cut for s in own if s not in known})
+        known, older = self.known, self.older
+        if len(known) > REMEMBERED:
+            # what was not met since is forgotten, so frequent stretches stay
+            older.clear()
+            older.update(known)
+            known.clear()
+        new = []
+        for s in {s for own in cut for s in own if s not in known}:
+            ids = older.get(s)
+            if ids is None:
+                new.append(s)
+            else:
+                known[s] = ids
         if new:
             self.learn(new)
         return [np.frombuffer(b"".join([known[s] for s in own]), np.int32) for own in cut]
 
+    def encode_column(self, texts: pa.Array) -> pa.Array:
+        """Ids of a column of texts, about ``CHARS`` bytes of text at a time."""
+        found, at = [], 0
+        for size in _runs(pc.binary_length(texts).fill_null(0).to_numpy(), CHARS):
+            found += self.encode(texts.slice(at, size).to_pylist())
+            at += size
+        offsets = np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found) if found else np.zeros(0, np.int32)))
+
+    def decode_column(self, column: pa.Array) -> pa.Array:
+        """Texts of a column of ids: the bytes of all pieces are gathered at once."""
+        self.prepared()
+        sizes, values = pc.list_value_length(column).fill_null(0).to_numpy(), column.flatten().to_numpy()
+        starts, lengths = self.surface_starts, np.diff(self.surface_starts)
+        out, at, row = [], 0, 0
+        for rows in _runs(sizes, CHARS // 4):
+            own = sizes[row : row + rows]
+            ids = values[at : at + int(own.sum())]
+            size = lengths[ids]
+            data = self.surface_bytes[np.repeat(starts[ids] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))].tobytes()
+            ends = np.concatenate(([0], np.cumsum(size)))[np.cumsum(own)].tolist() if len(ids) else [0] * rows
+            for a, b in zip([0, *ends], ends):
+                text = data[a:b].decode("utf-8", "replace")
+                out.append(text[1:] if self.dummy_prefix and text[:1] == " " else text)
+            at, row = at + len(ids), row + rows
+        return pa.array(out, pa.string(), mask=np.asarray(column.is_null()))
+
     def decode(self, ids: list[int]) -> str:
         """Text of the ids.  Control pieces read as nothing; bytes that are no UTF-8 as U+FFFD."""
         surfaces = self.prepared().surfaces
@@ -316,10 +370,10 @@ class Pieces:
 def encoded(text: str | Column, pieces: Pieces) -> Column:
     """Token ids of a text column (array of int)."""
 
-    @F.pandas_udf("array<int>")
-    def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<int>")
+    def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pd.Series(pieces.encode(batch.tolist()), dtype=object)
+            yield pieces.prepared().encode_column(batch)
 
     return ids(text)
 
@@ -327,10 +381,10 @@ def encoded(text: str | Column, pieces: Pieces) -> Column:
 def decoded(ids: str | Column, pieces: Pieces) -> Column:
     """Text of a column of token ids; null for null."""
 
-    @F.pandas_udf("string")
-    def text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("string")
+    def text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pd.Series([None if x is None else pieces.decode(x.tolist()) for x in batch], dtype=object)
+            yield pieces.prepared().decode_column(batch)
 
     return text(ids)
 

@@ -1,6 +1,7 @@
 import os
 import random
 
+import pyarrow as pa
 import pytest
 
 from tallymast.llm import sentencepiece as s
@@ -26,6 +27,32 @@ def test_same_ids_as_the_library(spark, pieces):
     assert [pieces.decode(x) for x in got] == texts
 
 
+def test_columns_of_ids_and_texts(pieces, monkeypatch):
+    texts = [*STRANGE, None, "é" * 9, "a � b"]
+    byte = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(pieces.pieces, pieces.kinds)) if k == s.BYTE}
+    for most in (10, 4_000_000):
+        monkeypatch.setattr(s, "CHARS", most)
+        ids = pieces.encode_column(pa.array(texts))
+        assert ids.to_pylist() == [x.tolist() for x in pieces.encode(texts)]
+        assert pieces.decode_column(ids).to_pylist() == [t or "" for t in texts]
+        # ids that are no text of anything: torn characters among others, nulls, slices
+        rnd = random.Random(8)
+        lists = [[rnd.choice([*byte.values(), rnd.randrange(len(pieces.pieces))]) for _ in range(rnd.randrange(12))] for _ in range(300)] + [None]
+        column = pa.array(lists, pa.list_(pa.int32()))
+        want = [None if x is None else pieces.decode(x) for x in lists]
+        assert pieces.decode_column(column).to_pylist() == want
+        assert pieces.decode_column(column.slice(7, 100)).to_pylist() == want[7:107]
+    assert pieces.encode_column(pa.array([], pa.string())).to_pylist() == []
+
+
+def test_a_small_memory_changes_nothing(pieces, monkeypatch):
+    rnd = random.Random(9)
+    texts = [" ".join("".join(rnd.choice("abcde") for _ in range(rnd.randrange(1, 6))) for _ in range(30)) for _ in range(60)]
+    want = [x.tolist() for x in pieces.encode(texts)]
+    monkeypatch.setattr(s, "REMEMBERED", 20)
+    assert [pieces.encode([t])[0].tolist() for t in texts] == want
+
+
 def test_compatible_neighbours_are_those_that_merging_leaves(pieces):
     rnd = random.Random(4)
     names = list(pieces.prepared().ids)
