@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import bin_start, pct
-from ..plans.joins import block_pairs
+from ..plans.joins import counted_pairs
 from ..session import cut_lineage
 
 
@@ -27,15 +27,14 @@ def _one_row(df: DataFrame, totals: DataFrame) -> DataFrame:
 def colocation_edges(df: DataFrame, seconds: int = 300, least: int = 3) -> DataFrame:
     """Numbers at the same tower in the same tumbling bin; weight = number of such bins.
 
-    Exact pruning first: a number seen in fewer than ``least`` bins cannot have an edge.
-    Crowded bins are paired block by block and the counts are combined before the shuffle; no
-    bin is left out.
+    Exact pruning first: a number seen in fewer than ``least`` bins cannot have an edge, and an edge needs
+    a common bin besides the ``least - 1`` most crowded of either number (``counted_pairs``).  What is left
+    of a crowded bin is paired block by block; no bin is left out.
     """
     cells = df.select("tower_id", bin_start("timestamp", seconds).alias("bin"), "mobile_number").distinct()
     enough = cells.groupBy("mobile_number").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least).select("mobile_number")
     cells = cells.join(enough, "mobile_number", "left_semi")
-    pairs = block_pairs(cells, ["tower_id", "bin"], "mobile_number")
-    return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("weight")).filter(F.col("weight") >= least)
+    return counted_pairs(cells, ["tower_id", "bin"], "mobile_number", least, "weight")
 
 
 def call_edges(df: DataFrame) -> DataFrame:
@@ -185,13 +184,15 @@ def eigenvector(e: DataFrame, iters: int = 100, tol: float = 1e-6, per_round: in
     """Eigenvector centrality by power iteration on A + I with unit length.
 
     ``per_round`` multiplications share one plan before the lineage is cut and the change is
-    tested, because the direction alone matters until then.
+    tested, because the direction alone matters until then.  ``converged`` (the same for all nodes)
+    says whether the last round changed the entries by less than ``tol`` on average; where the two
+    largest eigenvalues are close, as in long paths, ``iters`` may end before.
     """
     step = cut_lineage(both_ways(e))
     nodes = step.select(F.col("u").alias("node")).distinct()
     x = cut_lineage(nodes.withColumn("x", F.lit(1.0)))
-    done = 0
-    while done < iters:
+    done, converged = 0, False
+    while done < iters and not converged:
         y = x
         for _ in range(per_round):
             sent = step.join(y, step["u"] == y["node"]).select(F.col("v").alias("node"), "x").unionByName(y.select("node", "x"))
@@ -200,10 +201,8 @@ def eigenvector(e: DataFrame, iters: int = 100, tol: float = 1e-6, per_round: in
         y = cut_lineage(_one_row(y, norm).select("node", (F.col("x") / F.col("_norm")).alias("x")))
         done += per_round
         change = y.join(x.withColumnRenamed("x", "_old"), "node").agg(F.sum(F.abs(F.col("x") - F.col("_old"))).alias("d"), F.count(F.lit(1)).alias("n")).first()
-        x = y
-        if change["n"] == 0 or change["d"] < change["n"] * tol:
-            break
-    return x.select("node", F.col("x").alias("centrality"))
+        x, converged = y, change["n"] == 0 or change["d"] < change["n"] * tol
+    return x.select("node", F.col("x").alias("centrality"), F.lit(converged).alias("converged"))
 
 
 def peripheral(centrality: DataFrame, below: float = 0.5, more_than: int = 10) -> DataFrame:
@@ -265,11 +264,14 @@ def maximal_cliques(e: DataFrame, least: int = 3) -> DataFrame:
 
 # -- over time, isolated, roles ----------------------------------------------------------
 
-def network_evolution(df: DataFrame, seconds: int = 300, change: float = 0.5) -> DataFrame:
+def network_evolution(df: DataFrame, seconds: int = 300, change: float = 0.5, least: int = 1) -> DataFrame:
     """Per day: nodes (lone devices too), edges, density, components, growth against the first
-    day and whether the number of nodes jumped."""
+    day and whether the number of nodes jumped.  An edge is ``least`` common bins of a day; with more than
+    one, crowded bins make no pairs of their own (``counted_pairs``)."""
     cells = df.select(F.to_date("timestamp").alias("day"), "tower_id", bin_start("timestamp", seconds).alias("bin"), "mobile_number").distinct()
-    pairs = block_pairs(cells, ["day", "tower_id", "bin"], "mobile_number").select("day", "a", "b").distinct()
+    # a member is a number on a day, so bins of other days are not in common
+    daily = cells.select("tower_id", "bin", F.struct("day", "mobile_number").alias("m"))
+    pairs = counted_pairs(daily, ["tower_id", "bin"], "m", least).select(F.col("a.day").alias("day"), F.col("a.mobile_number").alias("a"), F.col("b.mobile_number").alias("b"))
     nodes = cells.select("day", "mobile_number").distinct().groupBy("day").agg(F.count(F.lit(1)).alias("nodes"))
     edges = pairs.groupBy("day").agg(F.count(F.lit(1)).alias("edges"))
     tag = lambda c: F.concat_ws("|", F.col("day").cast("string"), F.col(c))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import haversine_km
 from ..functions.scalar import count_if, seconds_between, us
-from ..plans.joins import block_pairs
+from ..plans.joins import counted_pairs
 from ..plans.shards import neighbours, row_numbers
 from .cdr import TIE
 
@@ -120,10 +120,14 @@ def identity_maps(df: DataFrame) -> DataFrame:
         side("numbers_per_imei", "imei", "mobile_number"), side("imeis_per_number", "mobile_number", "imei"), side("imsis_per_imei", "imei", "imsi")])
 
 
-def device_pairs(df: DataFrame) -> DataFrame:
-    """Number pairs that used the same device, with how many devices they share."""
+def device_pairs(df: DataFrame, least: int = 1) -> DataFrame:
+    """Number pairs that used the same device, with how many devices they share: at least ``least``.
+
+    With more than one, a device that is among the ``least - 1`` most shared of all its numbers, as a
+    placeholder IMEI is, makes no pairs (``counted_pairs``); it counts for pairs that share others too.
+    """
     links = df.filter(F.col("imei").isNotNull()).select("imei", "mobile_number").distinct()
-    return block_pairs(links, ["imei"], "mobile_number").groupBy("a", "b").agg(F.count(F.lit(1)).alias("devices"))
+    return counted_pairs(links, ["imei"], "mobile_number", least, "devices")
 
 
 def identity_totals(df: DataFrame, approximate: bool = False) -> DataFrame:

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import count_if, pct, seconds_between, us
 from ..plans.folds import with_island
-from ..plans.joins import block_pairs
+from ..plans.joins import block_pairs, counted_pairs, ordered_ids
 from ..plans.shards import count_ahead
+from ..session import cut_lineage
 from .cdr import TIE, contact_counts, people
 
 
@@ -42,18 +43,26 @@ def sharers(edges: DataFrame, shared: DataFrame) -> DataFrame:
     return edges.join(shared.select("contact"), "contact", "left_semi").select("contact", "subject", "calls")
 
 
-def pairwise_common(edges: DataFrame, samples: int = 3) -> DataFrame:
-    """Number of contacts two subjects share, with the first ``samples`` of them.
+def pairwise_common(edges: DataFrame, samples: int = 3, least: int = 1) -> DataFrame:
+    """Number of contacts two subjects share, at least ``least``, with the first ``samples`` of them.
 
-    A contact of very many subjects is joined block against block; no contact is left out.
+    Subjects and contacts are numbered in their order first, so pairs are pairs of whole numbers, and the
+    counts are combined before the shuffle.  The samples are looked up afterwards: of a task's pairs only
+    the first few rows each are shuffled.  Contacts of very many subjects are joined block against block,
+    and with ``least`` above one the largest make no pairs (``counted_pairs``).
     """
-    pairs = block_pairs(edges.select("contact", "subject").distinct(), ["contact"], "subject")
-    w = Window.partitionBy("a", "b").orderBy("contact")
-    return (
-        pairs.withColumn("_n", F.row_number().over(w)).groupBy("a", "b")
-        .agg(F.count(F.lit(1)).alias("common"),
-             F.array_sort(F.collect_list(F.when(F.col("_n") <= samples, F.col("contact")))).alias("samples"))
-    )
+    known = edges.filter(F.col("contact").isNotNull() & F.col("subject").isNotNull())
+    subjects, contacts = ordered_ids(known, "subject", "s"), ordered_ids(known, "contact", "c")
+    links = cut_lineage(known.select("contact", "subject").distinct().join(subjects, "subject").join(contacts, "contact").select("c", "s"))
+    counts = counted_pairs(links, ["c"], "s", least)
+    pairs = block_pairs(links, ["c"], "s")
+    if least > 1:
+        pairs = pairs.join(counts.select("a", "b"), ["a", "b"], "left_semi")
+    first = pairs.withColumn("_n", F.row_number().over(Window.partitionBy("a", "b").orderBy("c"))).filter(F.col("_n") <= samples)
+    named = first.join(contacts, "c").groupBy("a", "b").agg(F.array_sort(F.collect_list("contact")).alias("samples"))
+    side = lambda name: subjects.select(F.col("s").alias(name), F.col("subject").alias(f"_{name}"))
+    out = counts.join(named, ["a", "b"]).join(side("a"), "a").join(side("b"), "b")
+    return out.select(F.col("_a").alias("a"), F.col("_b").alias("b"), "common", "samples")
 
 
 def central_subjects(edges: DataFrame, k: int = 5) -> DataFrame:
@@ -73,12 +82,12 @@ def fan_out(edges: DataFrame, more_than: int = 50, share: float = 50) -> DataFra
 def synchronized(df: DataFrame, seconds: int = 300, tie: Sequence[str] = TIE) -> DataFrame:
     """Every record from which on at least two subjects are active within ``seconds``.
 
-    The order runs over all subjects, so it is cut into fixed time shards of twice the window,
-    each seeing one window ahead: no step sorts the whole table in one task.
+    The order runs over all subjects, so it is cut into cells of twice the window, each seeing one window
+    ahead, and crowded cells at quantiles of their times: no step sorts a large stretch in one task.
     """
     span = seconds * 1_000_000
     rows = people(df).select("subject", "datetime", *tie)
-    out = count_ahead(rows, [], "datetime", span, "subjects", distinct="subject", tie=tie, width_us=2 * span)
+    out = count_ahead(rows, [], "datetime", span, "subjects", distinct="subject", tie=tie)
     return out.filter("subjects >= 2").select(
         F.col("datetime").alias("start"), *tie, F.col("subject").alias("anchor"), "subjects",
         F.when(F.col("subjects") >= 3, "COORDINATED").otherwise("SYNCHRONIZED").alias("kind"))

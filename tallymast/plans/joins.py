@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import us
-from .shards import HOT_ROWS, with_shard
+from ..session import cut_lineage
+from .shards import HOT_ROWS, at_seams, hot_cuts, moment
 
 
 def band_join(
@@ -47,6 +48,24 @@ def band_join(
     return out.drop("_bucket", "_r_bucket", *[f"_r_{k}" for k in on])
 
 
+#: Cells of one level in a cell of the next, and the last level: with cells of an hour at first, twice the
+#: longest interval that times can have.
+FAN, TOP = 16, 7
+
+
+def interval_cells(intervals: DataFrame, start: str, end: str, width_us: int) -> DataFrame:
+    """``intervals`` (none ends before it starts) with ``_level`` and ``_cell``, a row for every time cell they
+    touch.  Cells are ``FAN`` times as wide from level to level, and an interval is cut at the first level
+    where it is no longer than ``FAN`` cells: at most ``FAN + 1`` rows each, however long it lasts."""
+    length = us(end) - us(start)
+    level = F.lit(TOP)
+    for k in range(TOP - 1, -1, -1):
+        level = F.when(length <= width_us * FAN ** (k + 1), k).otherwise(level)
+    leveled = intervals.withColumn("_level", level)
+    width = F.element_at(F.array(*[F.lit(width_us * FAN**k) for k in range(TOP + 1)]), F.col("_level") + 1)
+    return leveled.withColumn("_cell", F.explode(F.sequence(F.floor(us(start) / width), F.floor(us(end) / width))))
+
+
 def point_in_interval(
     points: DataFrame,
     intervals: DataFrame,
@@ -56,17 +75,18 @@ def point_in_interval(
     end: str,
     width_us: int = 3_600_000_000,
 ) -> DataFrame:
-    """Points inside the intervals of the same key, both ends in.  A point has one bucket and
-    an interval as many as it touches, so no pair is met twice."""
-    p = points.withColumn("_bucket", F.floor(us(at) / width_us))
-    i = intervals.filter(F.col(end) >= F.col(start)).select(
-        *[F.col(k).alias(f"_r_{k}") for k in on],
-        *[c for c in intervals.columns if c not in on],
-        F.explode(F.sequence(F.floor(us(start) / width_us), F.floor(us(end) / width_us))).alias("_r_bucket"),
-    )
+    """Points inside the intervals of the same key, both ends in.  A point has one cell of every level that
+    intervals are cut at (one level, if all are short; a job of its own finds the levels), and meets an
+    interval at that one's level only, so no pair is met twice."""
+    cells = interval_cells(intervals.filter(F.col(end) >= F.col(start)), start, end, width_us)
+    levels = sorted(r["_level"] for r in cells.select("_level").distinct().collect()) or [0]
+    cell = lambda k: F.struct(F.lit(k).alias("_at_level"), F.floor(us(at) / (width_us * FAN**k)).alias("_at_cell"))
+    p = points.withColumn("_at", F.explode(F.array(*[cell(k) for k in levels])) if len(levels) > 1 else cell(levels[0]))
+    p = p.select(*points.columns, "_at.*")
+    i = cells.select(*[F.col(k).alias(f"_r_{k}") for k in on], *[c for c in intervals.columns if c not in on], "_level", "_cell")
     cond = [F.col(k) == F.col(f"_r_{k}") for k in on]
-    cond += [F.col("_bucket") == F.col("_r_bucket"), F.col(at) >= F.col(start), F.col(at) <= F.col(end)]
-    return p.join(i, cond).drop("_bucket", "_r_bucket", *[f"_r_{k}" for k in on])
+    cond += [F.col("_at_level") == F.col("_level"), F.col("_at_cell") == F.col("_cell"), F.col(at) >= F.col(start), F.col(at) <= F.col(end)]
+    return p.join(i, cond).drop("_at_level", "_at_cell", "_level", "_cell", *[f"_r_{k}" for k in on])
 
 
 def asof_next(
@@ -83,20 +103,26 @@ def asof_next(
 
     Both sides go through one union and one ordered pass per key.  ``tie`` orders rows of
     equal time.  Hot keys are sharded; the first row of the next shard that has one is the seam.
+    Times may be whole numbers on both sides.
     """
     on = list(on)
     hit = F.struct(*[F.col(c).alias(n) for n, c in take.items()])
     tie_struct = F.struct(F.lit(0).alias("_t"), *[F.col(c) for c in tie])
     p = probes.select(*on, F.col(probe_ts).alias("_at"), F.struct(*probes.columns).alias("_probe"))
     r = rows.select(*on, F.col(row_ts).alias("_at"), hit.alias("_hit"), tie_struct.alias("_tie"))
-    both = with_shard(p.unionByName(r, allowMissingColumns=True), on, "_at", hot_rows)
+    both = p.unionByName(r, allowMissingColumns=True)
+    at = both.withColumn("_us", moment(both, "_at"))
+    cuts = hot_cuts(at, on, [F.col("_us")], hot_rows)
+    both = (cuts.shard(at, F.col("_us")) if cuts else at).drop("_us")
     # descending time: at equal time the probe comes first, so it sees strictly later rows only
     w = (
-        Window.partitionBy(*on, "_shard")
+        Window.partitionBy(*on, *(["_shard"] if cuts else []))
         .orderBy(F.desc("_at"), F.col("_hit").isNotNull(), F.desc("_tie"))
         .rowsBetween(Window.unboundedPreceding, 0)
     )
     found = both.withColumn("_near", F.last("_hit", ignorenulls=True).over(w)).filter(F.col("_probe").isNotNull())
+    if not cuts:
+        return found.select("_probe.*", *[F.col("_near")[n].alias(n) for n in take])
     along = Window.partitionBy(*on).orderBy("_shard").rowsBetween(1, Window.unboundedFollowing)
     seams = (
         both.filter(F.col("_shard").isNotNull())
@@ -105,9 +131,7 @@ def asof_next(
         .select(*[F.col(k).alias(f"_seam_{k}") for k in on], F.col("_shard").alias("_seam_shard"),
                 F.first("_first", ignorenulls=True).over(along).alias("_after"))
     )
-    same = [F.col(k).eqNullSafe(F.col(f"_seam_{k}")) for k in on]
-    out = found.join(F.broadcast(seams), [*same, F.col("_shard") == F.col("_seam_shard")], "left")
-    out = out.withColumn("_got", F.coalesce("_near", "_after"))
+    out = at_seams(found, cuts, seams).withColumn("_got", F.coalesce("_near", "_after"))
     return out.select("_probe.*", *[F.col("_got")[n].alias(n) for n in take])
 
 
@@ -140,3 +164,36 @@ def block_pairs(
         .filter((F.col("_i") < F.col("_j")) | (F.col("_m") < F.col("_o")))
         .select(*group, F.least("_m", "_o").alias("a"), F.greatest("_m", "_o").alias("b"))
     )
+
+
+def ordered_ids(values: DataFrame, column: str, name: str) -> DataFrame:
+    """Distinct values of ``column`` with whole numbers in the same order, written once: sorted by range, a
+    value's number is its task's and its place in it."""
+    return cut_lineage(values.select(column).distinct().orderBy(column).withColumn(name, F.monotonically_increasing_id()))
+
+
+def counted_pairs(rows: DataFrame, group: Sequence[str], member: str, least: int = 1, name: str = "common", block_rows: int = 2_000) -> DataFrame:
+    """Pairs ``(a, b)``, ``a < b``, of members that share at least ``least`` groups, with how many.
+
+    ``rows`` must hold each (group, member) once.  Groups are ordered by size.  Two members with ``least``
+    groups in common share one that is not among the ``least - 1`` largest groups of either, so only these
+    remaining, smaller groups are paired: a group so large that it is among the largest of all its members
+    (a placeholder, a hub) makes no pair.  What the pairs so found share in the groups set aside is looked
+    up group by group afterwards, at most ``2 * (least - 1)`` a pair.  Counts are exact.
+    """
+    group = list(group)
+    rows = rows.select(*group, member)
+    if least <= 1:
+        return block_pairs(rows, group, member, block_rows).groupBy("a", "b").agg(F.count(F.lit(1)).alias(name))
+    sizes = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("_size"))
+    sized = rows.join(sizes, group)
+    largest = Window.partitionBy(member).orderBy(F.desc("_size"), *[F.desc(g) for g in group])
+    aside = sized.withColumn("_n", F.row_number().over(largest)).filter(F.col("_n") < least).select(*group, member)
+    rest = rows.join(aside, [*group, member], "left_anti")
+    found = block_pairs(rest, group, member, block_rows).groupBy("a", "b").agg(F.count(F.lit(1)).alias("_found"))
+    # groups set aside by a that b has, and groups set aside by b that a has and has not set aside itself
+    of_a = found.select("a", "b").join(aside.withColumnRenamed(member, "a"), "a").join(rows.withColumnRenamed(member, "b"), [*group, "b"], "left_semi")
+    of_b = found.select("a", "b").join(aside.withColumnRenamed(member, "b"), "b").join(rest.withColumnRenamed(member, "a"), [*group, "a"], "left_semi")
+    more = of_a.select("a", "b").unionByName(of_b.select("a", "b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("_more"))
+    total = F.col("_found") + F.coalesce("_more", F.lit(0))
+    return found.join(more, ["a", "b"], "left").select("a", "b", total.alias(name)).filter(F.col(name) >= least)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -56,6 +57,20 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; one of our own only in local mode, where one machine
+    is all there is."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
+    return shared or tempfile.mkdtemp(prefix="tallymast-checkpoint-")
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """Path of a folder not there yet, below the shared one."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint of ``df`` in the shared folder named by ``spark.checkpoint.dir``.
 
@@ -63,11 +78,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     folder of our own is used only in local mode, where one machine is all there is; a cluster
     has to name a shared one.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if not shared and not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tallymast-checkpoint-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)

@@ -20,8 +20,6 @@ CDR_ALIASES = {name: [name, header] for name, header in tables.CDR_COLUMNS.items
 CDR_ALIASES["lat"].append("lat")
 CDR_ALIASES["lon"] += ["long", "lon"]
 IPDR_ALIASES = {name: [name] for name in tables.IPDR_COLUMNS}
-#: Bits of a record position below the number of its part: 2**17 tasks a part, 512 parts.
-PART_BITS = 50
 CDR_REQUIRED = ["a_party", "b_party", "date", "time", "call_type"]
 
 
@@ -59,10 +57,11 @@ def _csv(spark: SparkSession, path: str, names: str) -> list[DataFrame]:
     return [read(sorted(files(h))) for h in sorted(headers)]
 
 
-def _position(df: DataFrame, part: int) -> DataFrame:
-    """The place of a record in its file as ``_position``: rises along every file, and from one part (a
-    path, or a header) to the next.  Needs no shuffle."""
-    return df.withColumn("_position", F.monotonically_increasing_id() + F.lit(part << PART_BITS))
+def _numbered(df: DataFrame) -> DataFrame:
+    """``event_id`` is that of the source, or else the place of the record: rises along every file, and from
+    one part of the union (a path, or a header) to the next.  One numbering of all parts, 2**31 tasks of
+    2**33 records, so no two meet; needs no shuffle."""
+    return df.withColumn("event_id", F.coalesce("event_id", F.monotonically_increasing_id()))
 
 
 def _raw(spark: SparkSession, path: str, aliases: dict, required: Sequence[str] = (), fmt: str | None = None) -> list[DataFrame]:
@@ -87,9 +86,9 @@ def _raw(spark: SparkSession, path: str, aliases: dict, required: Sequence[str]
     return [df.withColumn("source_file", F.col("_metadata.file_path")) for df in found]
 
 
-def _known(df: DataFrame, aliases: dict, part: int, merge: bool) -> DataFrame:
-    """Canonical names; ``event_id`` is that of the source, or else the position of the record."""
-    named = rename(_position(df, part), {**aliases, "source_file": ["source_file"], "event_id": ["event_id", "_position"]}, merge=merge)
+def _known(df: DataFrame, aliases: dict, merge: bool) -> DataFrame:
+    """Canonical names; ``event_id`` is that of the source, null without one."""
+    named = rename(df, {**aliases, "source_file": ["source_file"], "event_id": ["event_id"]}, merge=merge)
     return named.withColumn("event_id", F.col("event_id").cast("string").try_cast("bigint"))
 
 
@@ -110,7 +109,7 @@ def _read_all(spark, paths, aliases, required, fmt) -> DataFrame | None:
             if absent:
                 log.warning("skipped %s: no column for %s", path, absent)
                 continue
-            good.append(_known(raw, aliases, len(good), merge=_is_workbook(raw)))
+            good.append(_known(raw, aliases, merge=_is_workbook(raw)))
     return reduce(lambda a, b: a.unionByName(b), good) if good else None
 
 
@@ -126,34 +125,40 @@ def _empty(spark: SparkSession, layout) -> DataFrame:
 def read_cdr(spark: SparkSession, paths: str | Sequence[str], fmt: str | None = None, **kw) -> DataFrame:
     """Call records from csv, xlsx or parquet; the subject comes from the file name."""
     raw = _read_all(spark, paths, CDR_ALIASES, CDR_REQUIRED, fmt)
-    return _empty(spark, schema.CDR) if raw is None else normalize_cdr(raw, **kw)
+    return _empty(spark, schema.CDR) if raw is None else _numbered(normalize_cdr(raw, **kw))
 
 
 def read_ipdr(spark: SparkSession, paths: str | Sequence[str], fmt: str | None = None, **kw) -> DataFrame:
     """Sessions from csv, xlsx or parquet; a comma-separated list is split."""
     raw = _read_all(spark, paths, IPDR_ALIASES, ["start_time", "destination_port", "data_volume_up", "data_volume_down"], fmt)
-    return _empty(spark, schema.IPDR) if raw is None else normalize_ipdr(raw, **kw)
+    return _empty(spark, schema.IPDR) if raw is None else _numbered(normalize_ipdr(raw, **kw))
 
 
-def read_tower_dump(spark: SparkSession, path: str, fmt: str | None = None, first_part: int = 0, **kw) -> DataFrame:
-    """One dump: a file, or a folder of files.  Any file type but csv, xlsx and parquet is an error."""
+def _dump(spark: SparkSession, path: str, fmt: str | None, **kw) -> DataFrame:
     kinds = [fmt] if fmt else _formats(spark, path)
     if not set(kinds) <= {"csv", "xlsx", "parquet"}:
         raise ValueError(f"unsupported file type: {path}")
     raw = [df for k in kinds for df in _raw(spark, path, tables.TOWER_ALIASES, fmt=k)]
-    known = [_known(df, tables.TOWER_ALIASES, first_part + i, _is_workbook(df)) for i, df in enumerate(raw)]
+    known = [_known(df, tables.TOWER_ALIASES, _is_workbook(df)) for df in raw]
     return normalize_tower(reduce(lambda a, b: a.unionByName(b), known), **kw)
 
 
+def read_tower_dump(spark: SparkSession, path: str, fmt: str | None = None, **kw) -> DataFrame:
+    """One dump: a file, or a folder of files.  Any file type but csv, xlsx and parquet is an error."""
+    return _numbered(_dump(spark, path, fmt, **kw))
+
+
 def read_tower_dumps(spark: SparkSession, paths: str | Sequence[str], fmt: str | None = None) -> DataFrame:
     """Several dumps, tagged with their file and de-duplicated on (timestamp, number, tower)."""
     dumps = []
-    for i, path in enumerate(_split(paths)):
+    for path in _split(paths):
         try:
-            dumps.append(read_tower_dump(spark, path, fmt, first_part=i * 8))
+            dumps.append(_dump(spark, path, fmt))
         except (PySparkException, ValueError) as e:
             log.warning("skipped %s: %s", path, e)
-    return deduplicate(reduce(lambda a, b: a.unionByName(b), dumps), order=("event_id",)) if dumps else _empty(spark, schema.TOWER)
+    if not dumps:
+        return _empty(spark, schema.TOWER)
+    return deduplicate(_numbered(reduce(lambda a, b: a.unionByName(b), dumps)), order=("event_id",))
 
 
 def read_towers(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:

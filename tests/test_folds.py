@@ -24,6 +24,38 @@ def test_keep_spaced_boundaries(spark):
     assert few == 2
 
 
+def spaced(data, gap, limit=None):
+    kept, last = [], {}
+    for k, s, i in sorted(data, key=lambda r: (r[1], r[2])):
+        if k not in last or s - last[k] >= gap:
+            last[k] = s
+            kept.append((k, i))
+    return {x for k in {k for k, _ in kept} for x in [y for y in kept if y[0] == k][:limit]}
+
+
+def test_keep_spaced_against_a_loop(spark):
+    """One key never rests, so its chain has no place to start anew; times repeat."""
+    rng = random.Random(13)
+    data = [("busy", rng.randrange(20_000), n) for n in range(1500)] + [(rng.choice("abc"), rng.randrange(90_000), 5000 + n) for n in range(300)]
+    df = stamp(spark.createDataFrame(data, "k string, s bigint, id bigint"))
+    for limit in (None, 1, 3, 10):
+        for hot_rows in (100, 10**9):
+            got = folds.keep_spaced(df, "k", "timestamp", 300 * US, limit, ["id"], hot_rows)
+            assert {(r["k"], r["id"]) for r in got.collect()} == spaced(data, 300, limit)
+    none = folds.keep_spaced(df.limit(0), "k", "timestamp", 300 * US, None, ["id"])
+    assert none.count() == 0 and none.columns == df.columns
+
+
+def test_chains_are_followed_in_rounds_of_joins(spark):
+    """A chain of 5,000 choices takes 13 rounds, and no row passes through Python."""
+    df = spark.range(5_000).select(F.lit("k").alias("_key"), F.col("id").alias("_at"), F.when(F.col("id") < 4_999, F.col("id") + 1).alias("_next"))
+    assert folds.chain(df).count() == 5_000
+    assert {r["_at"] for r in folds.chain(df, 10).collect()} == set(range(10))
+    times = stamp(df.select(F.col("_key").alias("k"), F.col("_at").alias("s"), F.col("_at").alias("id")))
+    plan = folds.keep_spaced(times, "k", "timestamp", 2 * US, 10, ["id"])._jdf.queryExecution().toString()
+    assert "InPandas" not in plan and "Python" not in plan
+
+
 def calls(spark, rng, n=400, span=20_000, subjects="abc"):
     data = [(rng.choice(subjects), rng.randrange(span), i, rng.choice("pqr")) for i in range(n)]
     df = spark.createDataFrame(data, "subject string, s bigint, event_id bigint, b_party string")

@@ -136,3 +136,13 @@ def test_weight_threshold_and_crowded_bin(spark):
     t = spark.createDataFrame(rows, "tower_id string, s bigint, mobile_number string").withColumn("timestamp", F.timestamp_seconds("s"))
     e = graph.colocation_edges(t)
     assert e.count() == 30 * 29 // 2 and {r["weight"] for r in e.collect()} == {3}
+
+
+def test_eigenvector_says_whether_it_converged(spark):
+    """A long path mixes slowly; a star does not."""
+    path = spark.createDataFrame([(f"n{k:03d}", f"n{k + 1:03d}") for k in range(150)], "a string, b string")
+    slow = graph.eigenvector(path, iters=8, tol=1e-9).collect()
+    assert len(slow) == 151 and {r["converged"] for r in slow} == {False}
+    star = graph.eigenvector(spark.createDataFrame([("hub", f"n{k}") for k in range(6)], "a string, b string"), iters=80, tol=1e-9).collect()
+    assert {r["converged"] for r in star} == {True}
+    assert {round(r["centrality"], 4) for r in star if r["node"] == "hub"} == {0.7071}

@@ -56,10 +56,36 @@ def test_count_ahead_equals_brute_force(events, hot_rows, distinct):
     assert {r["id"]: r["n"] for r in got.collect()} == want
 
 
-def test_count_ahead_over_all_rows(events):
+@pytest.mark.parametrize("hot_rows", [40, 10**9])
+def test_count_ahead_over_all_rows(events, hot_rows):
     data = [tuple(r) for r in events.select(F.unix_micros("ts"), "id", "v").collect()]
     want = {i: len({x[2] for x in data if t <= x[0] <= t + 30 * US}) for t, i, _ in data}
-    got = shards.count_ahead(events, [], "ts", 30 * US, "n", distinct="v", tie=["id"], width_us=60 * US)
+    got = shards.count_ahead(events, [], "ts", 30 * US, "n", distinct="v", tie=["id"], hot_rows=hot_rows)
+    assert {r["id"]: r["n"] for r in got.collect()} == want
+
+
+def test_a_burst_has_as_many_shards_as_its_rows_ask_for(spark):
+    """A key with a burst of a second and a tail of years: no shard has twice ``hot_rows`` rows."""
+    tail = spark.range(1_000).select(F.lit("hot").alias("k"), (F.col("id") * 100_000 * US).alias("at"))
+    burst = spark.range(60_000).select(F.lit("hot").alias("k"), (50_000_000 * US + F.pmod(F.xxhash64("id"), F.lit(US))).alias("at"))
+    instant = spark.range(9_000).select(F.lit("hot").alias("k"), F.lit(70_000_000 * US).alias("at"))
+    cold = spark.range(900).select(F.lit("cold").alias("k"), F.col("id").alias("at"))
+    df = tail.union(burst).union(instant).union(cold).withColumn("ts", F.timestamp_micros("at"))
+    shards_of = shards.hot_cuts(df, ["k"], [F.col("at")], 1_000).shard(df, F.col("at"))
+    assert shards_of.filter("k = 'cold' and _shard is not null").count() == 0
+    sizes = shards_of.filter("k = 'hot'").groupBy("_shard").agg(F.count("*").alias("n"), F.min("at").alias("lo"), F.max("at").alias("hi"), F.max_by("at", "at").alias("x"), (F.max("at") == 70_000_000 * US).alias("heavy")).orderBy("_shard").collect()
+    assert len(sizes) > 50 and all(a["hi"] < b["lo"] for a, b in zip(sizes, sizes[1:]))
+    assert all(r["n"] < 2_000 for r in sizes if not r["lo"] <= 70_000_000 * US <= r["hi"])
+    assert sum(r["n"] for r in sizes) == 70_000
+
+
+@pytest.mark.parametrize("distinct", [None, "v"])
+def test_count_ahead_in_a_burst_narrower_than_the_span(spark, distinct):
+    rng = random.Random(21)
+    data = [("hot", rng.choice([rng.randrange(3), rng.randrange(5000)]), n, rng.choice("vwxyz")) for n in range(400)] + [("hot", None, 900, "v")]
+    df = spark.createDataFrame(data, "k string, s bigint, id bigint, v string").select("k", F.timestamp_micros(F.col("s") * US).alias("ts"), "id", "v")
+    want = {i: len({(y[3] if distinct else y[2]) for y in data if y[1] is not None and s <= y[1] <= s + 60}) if s is not None else 0 for _, s, i, _ in data}
+    got = shards.count_ahead(df, ["k"], "ts", 60 * US, "n", distinct=distinct, tie=["id"], hot_rows=10)
     assert {r["id"]: r["n"] for r in got.collect()} == want
 
 
@@ -89,6 +115,21 @@ def test_point_in_interval_crosses_buckets(spark):
     assert set(got) == {(y[2], x[3]) for x in spans for y in points if x[1] <= y[1] <= x[2]}
 
 
+def test_an_endless_interval_has_few_cells(spark):
+    """Intervals of all lengths, up to one that ends in the year 9999, against every pair."""
+    rng = random.Random(5)
+    lengths = [0, 1, 10, 60, 3600, 10**5, 10**6, 10**7, 10**8, 10**9]
+    spans = [("a", s := rng.randrange(10**9), s + rng.choice(lengths), n) for n in range(60)] + [("a", 0, 253_402_300_799, 60), ("b", -62_135_596_800, 253_402_300_799, 61)]
+    points = [(rng.choice("ab"), rng.randrange(-100, 2 * 10**9), n) for n in range(200)]
+    i = spark.createDataFrame(spans, "k string, s bigint, e bigint, i bigint").select("k", F.timestamp_seconds("s").alias("st"), F.timestamp_seconds("e").alias("en"), "i")
+    p = spark.createDataFrame(points, "k string, s bigint, p bigint").select("k", F.timestamp_seconds("s").alias("at"), "p")
+    most = joins.interval_cells(i, "st", "en", 3600 * US).groupBy("i").count().agg(F.max("count")).first()[0]
+    assert most <= joins.FAN + 1
+    got = [(x["p"], x["i"]) for x in joins.point_in_interval(p, i, ["k"], "at", "st", "en").select("p", "i").collect()]
+    assert len(got) == len(set(got)) and set(got) == {(y[2], x[3]) for x in spans for y in points if x[0] == y[0] and x[1] <= y[1] <= x[2]}
+    assert joins.point_in_interval(p, i.limit(0), ["k"], "at", "st", "en").count() == 0
+
+
 @pytest.mark.parametrize("hot_rows", [40, 10**9])
 def test_asof_next(spark, events, hot_rows):
     probes = spark.createDataFrame([("hot", n * 97, n) for n in range(45)] + [("a", 10, 90), ("none", 5, 91)], "k string, s bigint, p bigint").select(
@@ -111,6 +152,45 @@ def test_block_pairs(spark, block_rows):
     assert len(got) == len(want) and set(got) == want
 
 
+@pytest.mark.parametrize("block_rows", [3, 1000])
+@pytest.mark.parametrize("least", [1, 2, 3, 5])
+def test_counted_pairs_against_all_pairs(spark, least, block_rows):
+    rng = random.Random(least)
+    links = {(g, f"m{m}") for g in range(30) for m in rng.sample(range(25), rng.randrange(1, 9))} | {(99, f"m{m}") for m in range(25)} | {(98, f"m{m}") for m in range(20)}
+    df = spark.createDataFrame(sorted(links), "g int, m string")
+    groups = {}
+    for g, m in links:
+        groups.setdefault(m, set()).add(g)
+    want = {(a, b, len(groups[a] & groups[b])) for a in groups for b in groups if a < b and len(groups[a] & groups[b]) >= least}
+    got = [tuple(r) for r in joins.counted_pairs(df, ["g"], "m", least, block_rows=block_rows).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_a_placeholder_makes_no_pairs(spark):
+    """A device that 200,000 numbers show, some of which share two real ones besides."""
+    from tallymast.operators import identity
+
+    shown = spark.range(200_000).select(F.lit("000000000000000").alias("imei"), F.concat(F.lit("n"), "id").alias("mobile_number"))
+    real = spark.createDataFrame([(d, f"n{n}") for d, ns in (("A", (1, 2, 3)), ("B", (1, 2)), ("C", (5, 6))) for n in ns], "imei string, mobile_number string")
+    df = shown.union(real)
+    assert sorted(tuple(r) for r in identity.device_pairs(df, 2).collect()) == [("n1", "n2", 3), ("n1", "n3", 2), ("n2", "n3", 2), ("n5", "n6", 2)]
+    assert sorted(tuple(r) for r in identity.device_pairs(df, 3).collect()) == [("n1", "n2", 3)]
+
+
+def test_pairwise_common_with_a_bound(spark):
+    from tallymast.operators import network
+
+    rng = random.Random(2)
+    links = sorted({(f"s{rng.randrange(12)}", f"c{rng.randrange(20)}") for _ in range(120)})
+    edges = spark.createDataFrame([(s, c, 1) for s, c in links], "subject string, contact string, calls int")
+    own = {}
+    for s, c in links:
+        own.setdefault(s, set()).add(c)
+    for least in (1, 3):
+        want = {(a, b, len(own[a] & own[b]), tuple(sorted(own[a] & own[b])[:3])) for a in own for b in own if a < b and len(own[a] & own[b]) >= least}
+        assert {(r["a"], r["b"], r["common"], tuple(r["samples"])) for r in network.pairwise_common(edges, least=least).collect()} == want
+
+
 def _plan(df):
     return df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
 
