@@ -27,7 +27,7 @@ _PIECES = re.compile(r"[a-z]+")
 
 #: Fixed values of the HTML standard: elements without an end tag, and elements whose content is no text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math object select canvas audio video".split())
+RAW = frozenset("script style noscript template textarea title iframe svg object select canvas audio video".split())
 #: Elements whose edges end a block.
 BLOCK = frozenset(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main "
@@ -40,6 +40,7 @@ CLOSES = {"p": BLOCK - {"br"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "d
 def parts(page: str) -> Iterator[tuple[str, str, frozenset[str], bool]]:
     """(tag name or '', text, features of the elements around, whether a block ends here), in page order."""
     open_: list[tuple[str, frozenset[str]]] = []
+    count: Counter[str] = Counter()  # of the open elements by name: a stray end tag searches nothing
     at, lowered = 0, None
     none: frozenset[str] = frozenset()
     while m := _PART.match(page, at):
@@ -54,13 +55,15 @@ def parts(page: str) -> Iterator[tuple[str, str, frozenset[str], bool]]:
             continue  # comment, doctype, processing instruction
         name = named.group(1).lower()
         if token[1] == "/":
-            if any(n == name for n, _ in open_):
-                while open_.pop()[0] != name:
-                    pass
+            if count[name]:
+                last = None
+                while last != name:
+                    last = open_.pop()[0]
+                    count[last] -= 1
             yield name, "", around, name in BLOCK
             continue
         while open_ and name in CLOSES.get(open_[-1][0], ()):
-            open_.pop()
+            count[open_.pop()[0]] -= 1
         own = {name, *(p for a in _ATTRIBUTE.findall(token) for p in _PIECES.findall("".join(a).lower()))} if " " in token or "\n" in token else {name}
         around = open_[-1][1] if open_ else none
         if name in BLOCK or name in RAW:  # a link or an emphasis says nothing about the text around it
@@ -74,8 +77,10 @@ def parts(page: str) -> Iterator[tuple[str, str, frozenset[str], bool]]:
             if end < 0:
                 return
             open_.append((name, around))
+            count[name] += 1
         elif name not in VOID and not token.endswith("/>"):
             open_.append((name, around))
+            count[name] += 1
 
 
 # Labelled pages: what lies between [[ and ]] is main text, everything else is not.

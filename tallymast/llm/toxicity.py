@@ -45,8 +45,11 @@ THREATS = frozenset("kill hurt destroy beat shoot stab burn töte töten umbring
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
 #: What the composed machine writes: nothing, or a pattern with a weight.
 PATTERNS = ("", "insult", "insult at target", "insult denied", "insult reported", "threat", "threat at target", "threat denied", "threat reported")
-#: Weights before anything is learned.
-PRIOR = (0.0, 2.0, 3.0, 0.5, 1.0, 1.0, 3.0, 0.2, 0.5)
+#: Weights before anything is learned, and the constant.
+PRIOR = (0.0, 2.0, 3.0, 0.5, 1.0, 1.0, 3.5, 0.2, 0.5)
+PRIOR_BIAS = -3.0
+#: Labelled texts with a pattern from which on its weight is a learned one, and the least that a target adds.
+LEAST_SEEN, AIMED = 20, 0.5
 
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 _CLAUSE = re.compile(r"[.!?;:\n]+")
@@ -158,7 +161,7 @@ class Words(dict):
 class Model:
     entries: frozenset[str]
     weights: tuple[float, ...] = PRIOR
-    bias: float = -3.0
+    bias: float = PRIOR_BIAS
 
     def patterns(self, texts: list[str | None]) -> np.ndarray:
         """How many clauses of each text match each pattern (a clause counts once per pattern); what counts in
@@ -240,13 +243,25 @@ def lexicon(sample: DataFrame, most: int = MOST_ENTRIES) -> frozenset[str]:
 def fit_weights(x: np.ndarray, y: np.ndarray, n: np.ndarray, pull: float = 0.3, rounds: int = 30) -> tuple[tuple[float, ...], float]:
     """Logistic weights of the patterns by Newton's method, drawn towards PRIOR; row i counts n[i] times."""
     z = np.concatenate((np.minimum(x, 1), np.ones((len(x), 1))), axis=1)
-    prior = np.array([*PRIOR, -3.0])
+    prior = np.array([*PRIOR, PRIOR_BIAS])
     w = prior.copy()
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
         slope = z.T @ (n * (p - y)) + pull * (w - prior)
         w = w - np.linalg.solve((z * (n * p * (1 - p))[:, None]).T @ z + pull * np.eye(len(w)), slope)
-    return tuple(map(float, w[:-1])), float(w[-1])
+    return ordered(w[:-1], w[-1], n @ z[:, :-1]), float(w[-1])
+
+
+def ordered(weights: np.ndarray, bias: float, seen: np.ndarray) -> tuple[float, ...]:
+    """Weights that keep the meaning of the patterns: one seen in fewer than ``LEAST_SEEN`` texts scores what
+    it does before anything is learned, whatever the constant became; a target adds ``AIMED`` at least to an
+    insult or threat, and denial and report add nothing to it."""
+    w = np.where(seen < LEAST_SEEN, np.array(PRIOR) + PRIOR_BIAS - bias, weights)
+    w[0] = 0.0
+    for plain in (PATTERNS.index("insult"), PATTERNS.index("threat")):
+        w[plain + 1] = max(w[plain + 1], w[plain] + AIMED)
+        w[plain + 2 : plain + 4] = np.minimum(w[plain + 2 : plain + 4], w[plain])
+    return tuple(map(float, w))
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Model:

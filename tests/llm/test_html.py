@@ -45,3 +45,12 @@ def test_odd_pages(spark):
     got = {r["page_id"]: (r["text"], r["n_chars"]) for r in html.extract_pages(df).collect()}
     assert got == {i: (w, len(w)) for i, w in enumerate(want)}
     assert html.extract_pages(df.limit(0)).count() == 0
+
+
+def test_stray_end_tags_cost_no_search():
+    import time
+
+    start = time.time()
+    html.extract("<b>" * 60_000 + "</i>" * 60_000 + "<p>word</p>", html.fit())
+    assert time.time() - start < 5
+    assert list(html.parts("<div><b>x</i></b></div>"))[-1][0] == "div"

@@ -60,6 +60,21 @@ def test_held_out_documents(spark):
     assert got and all((s >= 0.5) == (i % 8 == 0) for i, s in got.items())
 
 
+def test_a_target_adds_and_denial_takes_away():
+    """However few labelled texts show a pattern, and however low the constant becomes."""
+    import numpy as np
+
+    for insults, plain in ((200, 20_000), (8, 500)):
+        x = np.zeros((3, len(PATTERNS)))
+        x[0, 1] = x[1, 2] = 1  # toxic insults, three clean ones at a target, and other texts
+        weights, bias = toxicity.fit_weights(x, np.array([1.0, 0, 0]), np.array([insults, 3, plain], float))
+        model = toxicity.Model(frozenset(["idiot"]), weights, bias)
+        text = lambda t: float(model.score(model.patterns([t]))[0])  # noqa: E731, B023
+        assert text("you are an idiot") > text("an idiot") > text("this is not an idiot")
+        assert text("you are an idiot") > text("she said idiot") and text("I will kill you") >= 0.5 > text("the report says they kill time")
+        assert text("nothing of the kind") < 0.1
+
+
 def test_odd_rows_and_no_rows(spark, odd, no_docs):
     labels = spark.createDataFrame([(5, 1, 0), (6, None, 1), (None, 0, 0)], "doc_id long, quality int, toxic int")
     for docs, lab in ((odd, labels), (odd, labels.limit(0)), (no_docs, labels)):
