@@ -8,6 +8,7 @@ the driver only ever sees a row count or a checksum.
 from __future__ import annotations
 
 import itertools
+import math
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -139,16 +140,30 @@ def cluster_traits(df: DataFrame, c: DataFrame, least: int = 3, hour_share: floa
 
 # -- centralities ------------------------------------------------------------------------
 
-def betweenness(e: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+def pivots(nodes: DataFrame, n: int, error: float, risk: float = 0.05, seed: int = 0) -> DataFrame:
+    """Sources from which normalized betweenness is within ``error`` for all ``n`` nodes at once, but for a
+    chance of ``risk``: a source adds at most n / (n - 1) times the mean's unit, so Hoeffding's bound over all
+    nodes asks for ln(2 n / risk) / (2 error^2) of them.  They are those of the smallest hash; all nodes, if
+    the bound asks for as many."""
+    k = math.ceil(math.log(2 * n / risk) * (n / (n - 1)) ** 2 / (2 * error**2)) if n > 1 else n
+    return nodes if k >= n else nodes.orderBy(F.xxhash64("node", F.lit(seed)), "node").limit(k)
+
+
+def betweenness(e: DataFrame, sources: DataFrame | None = None, error: float | None = 0.05, risk: float = 0.05, seed: int = 0) -> DataFrame:
     """Normalized betweenness by level-synchronous shortest-path counting and back-propagation.
 
-    State is one row per (source, node), so all sources mean nodes squared; give ``sources``
-    (column ``node``) for large graphs, the result is then scaled to all nodes.
+    State is one row per (source, node).  Sources are ``sources`` (column ``node``), or as many as
+    ``pivots`` asks for: graphs up to some 2,500 nodes are exact at the default ``error``, larger ones are
+    within it.  With ``error`` None all nodes are sources, which means nodes squared.  The result is scaled
+    to all nodes.
     """
     step = both_ways(e)
     step = cut_lineage(step)
     nodes = step.select(F.col("u").alias("node")).distinct()
-    starts = nodes if sources is None else sources.select("node").distinct()
+    if sources is not None:
+        starts = sources.select("node").distinct()
+    else:
+        starts = nodes if error is None else cut_lineage(pivots(nodes, nodes.count(), error, risk, seed))
     frontier = starts.select(F.col("node").alias("source"), "node", F.lit(1.0).alias("sigma"))
     seen = frontier.select("source", "node")
     levels = [cut_lineage(frontier)]

@@ -5,6 +5,7 @@ import random
 from collections import deque
 
 import pytest
+from pyspark.sql import functions as F
 
 from tallymast.operators import cdr, graph
 
@@ -146,3 +147,17 @@ def test_eigenvector_says_whether_it_converged(spark):
     star = graph.eigenvector(spark.createDataFrame([("hub", f"n{k}") for k in range(6)], "a string, b string"), iters=80, tol=1e-9).collect()
     assert {r["converged"] for r in star} == {True}
     assert {round(r["centrality"], 4) for r in star if r["node"] == "hub"} == {0.7071}
+
+
+def test_sampled_betweenness_is_within_its_bound(spark):
+    rng = random.Random(31)
+    edges = {tuple(sorted((f"n{k:03d}", f"n{rng.randrange(max(1, k - 30), k + 1) - 1:03d}"))) for k in range(1, 160)}
+    e = spark.createDataFrame(sorted(edges), "a string, b string").cache()
+    nodes = graph.both_ways(e).select(F.col("u").alias("node")).distinct()
+    n = nodes.count()
+    k = graph.pivots(nodes, n, 0.25).count()
+    assert k < n and graph.pivots(nodes, n, 0.05).count() == n
+    exact = {r["node"]: r["betweenness"] for r in graph.betweenness(e, error=None).collect()}
+    sampled = {r["node"]: r["betweenness"] for r in graph.betweenness(e, error=0.25).collect()}
+    assert exact.keys() == sampled.keys() and exact != sampled
+    assert max(abs(exact[v] - sampled[v]) for v in exact) <= 0.25
