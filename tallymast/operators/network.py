@@ -9,9 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import count_if, pct, seconds_between, us
 from ..plans.folds import with_island
-from ..plans.joins import block_pairs, counted_pairs, ordered_ids
+from ..plans.joins import block_pairs, counted_pairs
 from ..plans.shards import count_ahead
-from ..session import cut_lineage
 from .cdr import TIE, contact_counts, people
 
 
@@ -46,23 +45,19 @@ def sharers(edges: DataFrame, shared: DataFrame) -> DataFrame:
 def pairwise_common(edges: DataFrame, samples: int = 3, least: int = 1) -> DataFrame:
     """Number of contacts two subjects share, at least ``least``, with the first ``samples`` of them.
 
-    Subjects and contacts are numbered in their order first, so pairs are pairs of whole numbers, and the
-    counts are combined before the shuffle.  The samples are looked up afterwards: of a task's pairs only
-    the first few rows each are shuffled.  Contacts of very many subjects are joined block against block,
-    and with ``least`` above one the largest make no pairs (``counted_pairs``).
+    Contacts of very many subjects are joined block against block.  With ``least`` above one the largest make
+    no pairs (``counted_pairs``), and samples are looked up for the pairs that are left.
     """
-    known = edges.filter(F.col("contact").isNotNull() & F.col("subject").isNotNull())
-    subjects, contacts = ordered_ids(known, "subject", "s"), ordered_ids(known, "contact", "c")
-    links = cut_lineage(known.select("contact", "subject").distinct().join(subjects, "subject").join(contacts, "contact").select("c", "s"))
-    counts = counted_pairs(links, ["c"], "s", least)
-    pairs = block_pairs(links, ["c"], "s")
+    links = edges.select("contact", "subject").distinct()
+    pairs = block_pairs(links, ["contact"], "subject")
     if least > 1:
-        pairs = pairs.join(counts.select("a", "b"), ["a", "b"], "left_semi")
-    first = pairs.withColumn("_n", F.row_number().over(Window.partitionBy("a", "b").orderBy("c"))).filter(F.col("_n") <= samples)
-    named = first.join(contacts, "c").groupBy("a", "b").agg(F.array_sort(F.collect_list("contact")).alias("samples"))
-    side = lambda name: subjects.select(F.col("s").alias(name), F.col("subject").alias(f"_{name}"))
-    out = counts.join(named, ["a", "b"]).join(side("a"), "a").join(side("b"), "b")
-    return out.select(F.col("_a").alias("a"), F.col("_b").alias("b"), "common", "samples")
+        pairs = pairs.join(counted_pairs(links, ["contact"], "subject", least).select("a", "b"), ["a", "b"], "left_semi")
+    w = Window.partitionBy("a", "b").orderBy("contact")
+    return (
+        pairs.withColumn("_n", F.row_number().over(w)).groupBy("a", "b")
+        .agg(F.count(F.lit(1)).alias("common"),
+             F.array_sort(F.collect_list(F.when(F.col("_n") <= samples, F.col("contact")))).alias("samples"))
+    )
 
 
 def central_subjects(edges: DataFrame, k: int = 5) -> DataFrame:

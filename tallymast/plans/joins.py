@@ -166,12 +166,6 @@ def block_pairs(
     )
 
 
-def ordered_ids(values: DataFrame, column: str, name: str) -> DataFrame:
-    """Distinct values of ``column`` with whole numbers in the same order, written once: sorted by range, a
-    value's number is its task's and its place in it."""
-    return cut_lineage(values.select(column).distinct().orderBy(column).withColumn(name, F.monotonically_increasing_id()))
-
-
 def counted_pairs(rows: DataFrame, group: Sequence[str], member: str, least: int = 1, name: str = "common", block_rows: int = 2_000) -> DataFrame:
     """Pairs ``(a, b)``, ``a < b``, of members that share at least ``least`` groups, with how many.
 
@@ -179,18 +173,23 @@ def counted_pairs(rows: DataFrame, group: Sequence[str], member: str, least: int
     groups in common share one that is not among the ``least - 1`` largest groups of either, so only these
     remaining, smaller groups are paired: a group so large that it is among the largest of all its members
     (a placeholder, a hub) makes no pair.  What the pairs so found share in the groups set aside is looked
-    up group by group afterwards, at most ``2 * (least - 1)`` a pair.  Counts are exact.
+    up group by group afterwards, at most ``2 * (least - 1)`` a pair.  Without any group of more than
+    ``block_rows`` members all are paired at once.  Counts are exact either way.
     """
     group = list(group)
     rows = rows.select(*group, member)
+    counted = lambda some, as_: block_pairs(some, group, member, block_rows).groupBy("a", "b").agg(F.count(F.lit(1)).alias(as_))
     if least <= 1:
-        return block_pairs(rows, group, member, block_rows).groupBy("a", "b").agg(F.count(F.lit(1)).alias(name))
+        return counted(rows, name)
+    rows = cut_lineage(rows)  # read several times below
     sizes = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("_size"))
+    if sizes.filter(F.col("_size") > block_rows).isEmpty():
+        return counted(rows, name).filter(F.col(name) >= least)
     sized = rows.join(sizes, group)
     largest = Window.partitionBy(member).orderBy(F.desc("_size"), *[F.desc(g) for g in group])
-    aside = sized.withColumn("_n", F.row_number().over(largest)).filter(F.col("_n") < least).select(*group, member)
+    aside = cut_lineage(sized.withColumn("_n", F.row_number().over(largest)).filter(F.col("_n") < least).select(*group, member))
     rest = rows.join(aside, [*group, member], "left_anti")
-    found = block_pairs(rest, group, member, block_rows).groupBy("a", "b").agg(F.count(F.lit(1)).alias("_found"))
+    found = counted(rest, "_found")
     # groups set aside by a that b has, and groups set aside by b that a has and has not set aside itself
     of_a = found.select("a", "b").join(aside.withColumnRenamed(member, "a"), "a").join(rows.withColumnRenamed(member, "b"), [*group, "b"], "left_semi")
     of_b = found.select("a", "b").join(aside.withColumnRenamed(member, "b"), "b").join(rest.withColumnRenamed(member, "a"), [*group, "a"], "left_semi")
