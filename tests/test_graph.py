@@ -161,3 +161,18 @@ def test_sampled_betweenness_is_within_its_bound(spark):
     sampled = {r["node"]: r["betweenness"] for r in graph.betweenness(e, error=0.25).collect()}
     assert exact.keys() == sampled.keys() and exact != sampled
     assert max(abs(exact[v] - sampled[v]) for v in exact) <= 0.25
+
+
+def test_edges_are_thinned_and_packed_in_tasks():
+    """All pairs of 300 nodes and a path beside them."""
+    import pyarrow as pa
+
+    from tallymast.operators import graph
+
+    pairs = [(f"n{i}", f"n{j}") for i in range(300) for j in range(i + 1, 300)] + [(f"p{i}", f"p{i + 1}") for i in range(50)]
+    batches = pa.table({"a": [a for a, _ in pairs], "b": [b for _, b in pairs]}).to_batches(max_chunksize=7_000)
+    stars = [tuple(r.values()) for b in graph._forest()(batches) for r in b.to_pylist()]
+    assert len(stars) == 299 + 50 and len({a for a, _ in stars}) == 2
+
+    numbers = pa.table({"a": [1, 1, 2], "b": [2, 3, 3]}).to_batches()
+    assert {r["u"]: sorted(r["vs"]) for b in graph._neighbour_lists()(numbers) for r in b.to_pylist()} == {1: [2, 3], 2: [1, 3], 3: [1, 2]}
