@@ -187,3 +187,23 @@ def test_cliques_without_a_row_per_wedge(spark):
     assert {tuple(r["members"]) for r in found.collect()} == {tuple(f"n{2 * k + (n >> k & 1):02}" for k in range(4)) for n in range(16)}
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "FlatMapGroupsInPandas" in plan and "Join" not in plan.partition("FlatMapGroupsInPandas")[0]
+
+
+def test_betweenness_in_tasks_equals_rows_per_source(case, monkeypatch):
+    """Sources are followed in tasks, ever so many together; the rows of larger graphs give the same."""
+    adj, e = case
+    want = {r["node"]: r["betweenness"] for r in graph.betweenness(e, error=None).collect()}
+    for name, value in (("TOGETHER", 2), ("FEW_EDGES", 0)):
+        monkeypatch.setattr(graph, name, value)
+        assert {r["node"]: r["betweenness"] for r in graph.betweenness(e, error=None).collect()} == pytest.approx(want)
+
+
+def test_path_shares_of_a_path_and_strangers():
+    """A path 0 - 1 - 2 - 3 by two groups of sources, one of them not in the graph."""
+    import pyarrow as pa
+
+    lists = [(0, [1]), (1, [0, 2]), (2, [1]), (2, [3]), (3, [2])]
+    rows = pa.table({"g": [g for g in (0, 1) for _ in lists], "sources": [s for s in ([0, 3, 9], [9]) for _ in lists],
+                     "u": [u for u, _ in lists] * 2, "vs": [vs for _, vs in lists] * 2})
+    found = [b.to_pydict() for b in graph._path_shares(at_once=1)(rows.to_batches(max_chunksize=3))]
+    assert found == [{"id": [0, 1, 2, 3], "share": [0.0, 3.0, 3.0, 0.0]}, {"id": [], "share": []}]
