@@ -183,3 +183,40 @@ def test_islands_split_only_at_longer_gaps(spark):
     df = stamp(spark.createDataFrame([(s, s) for s in (0, 300, 600, 901, 1201, 9000)], "s bigint, id bigint"))
     got = {r["id"]: r["island"] for r in folds.with_island(df, "timestamp", 300 * US).collect()}
     assert got[0] == got[300] == got[600] != got[901] and got[901] == got[1201] != got[9000]
+
+
+def test_convoys_by_stretches_of_window_ends(spark):
+    """Against a row per window and member; with repeated records, a missing number and records of one time."""
+    from tallymast.operators import movement
+
+    rng = random.Random(17)
+    data = [(rng.choice("ABC"), rng.randrange(0, 4000, 20), rng.choice(["n1", "n2", "n3", "n4", "n5", None]), k) for k in range(400)] + [("A", None, "n1", 400), (None, 40, "n2", 401)]
+    data += data[:30]
+    df = stamp(spark.createDataFrame(data, "tower_id string, s bigint, mobile_number string, event_id bigint"))
+    rows = sorted({r for r in data if r[1] is not None}, key=lambda r: (r[1], r[3]))
+    want = set()
+    for tower, at, _, number in rows:
+        inside = {w for t, s, w, _ in rows if t == tower and at <= s <= at + 300}
+        if tower is None or len(inside) < 2:
+            continue
+        after = {w: next(((t, s) for t, s, x, _ in rows if x == w and s > at + 300), (None, None)) for w in inside}
+        for to in {t for t, _ in after.values()} - {tower, None}:
+            group = [w for w in inside if after[w][0] == to]
+            times = [after[w][1] for w in group]
+            if len(group) >= 2 and max(times) - min(times) <= 60:
+                want.add((number, tower, to, at, tuple(sorted(w for w in group if w is not None)), len(group), round(len(group) / len(inside), 6)))
+    got = movement.convoys(df, least=2, spread=60).selectExpr("window_id", "from_tower", "to_tower", "unix_seconds(start)", "members", "members_count", "score").collect()
+    base = min(r[3] for r in got) - min(w[3] for w in want)
+    assert len(want) > 50 and sorted((r[0], r[1], r[2], r[3] - base, tuple(r[4]), r[5], round(r[6], 6)) for r in got) == sorted(want)
+
+
+def test_stretches_hold_no_row_per_window():
+    """Three numbers leave A for B: one stretch where all hold, however many windows end in it."""
+    import pandas as pd
+
+    from tallymast.operators import movement
+
+    rows = [("A", "B", 0, 0, 100, 500, "x"), ("A", "B", 0, 10, 90, 510, "y"), ("A", "B", 0, 20, 60, 900, None), ("A", "C", 0, 0, 9, 9, "x")]
+    pdf = pd.DataFrame(rows, columns=["tower_id", "to_tower", "_cell", "_from", "_until", "_to", "mobile_number"])
+    got = [tuple(r) for out in movement._together(2, 50)([pdf[:2], pdf[2:]]) for r in out.itertuples(index=False, name=None)]
+    assert [r for r in got if r[2] <= r[3]] == [("A", "B", 10, 19, 2, ["x", "y"]), ("A", "B", 61, 90, 2, ["x", "y"])]
