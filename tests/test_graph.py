@@ -207,3 +207,15 @@ def test_path_shares_of_a_path_and_strangers():
                      "u": [u for u, _ in lists] * 2, "vs": [vs for _, vs in lists] * 2})
     found = [b.to_pydict() for b in graph._path_shares(at_once=1)(rows.to_batches(max_chunksize=3))]
     assert found == [{"id": [0, 1, 2, 3], "share": [0.0, 3.0, 3.0, 0.0]}, {"id": [], "share": []}]
+
+
+def test_degrees_and_few_neighbours_are_counted_in_tasks(spark):
+    """All pairs of 40 nodes and a pair without a name: a row per node and task, no row per end of an edge."""
+    import pyarrow as pa
+
+    pairs = [(f"n{i:02}", f"n{j:02}") for i in range(40) for j in range(i + 1, 40)] + [("n00", None)]
+    batches = pa.table({"a": [a for a, _ in pairs], "b": [b for _, b in pairs]}).to_batches(max_chunksize=100)
+    rows = [r for b in graph._few_neighbours(3)(batches) for r in b.to_pylist()]
+    assert len(rows) == 41 and {r["node"]: r["few"] for r in rows}["n02"] == ["n00", "n01", "n03"]
+    got = {r["node"]: (r["degree"], r["centrality"], r["neighbours"]) for r in graph.degree_centrality(spark.createDataFrame(pairs, "a string, b string"), listed=3).collect()}
+    assert len(got) == 40 and got["n00"] == (40, 1.0, ["n01", "n02"]) and got["n39"] == (39, 39 / 40, ["n00", "n01", "n02"])
