@@ -219,3 +219,17 @@ def test_degrees_and_few_neighbours_are_counted_in_tasks(spark):
     assert len(rows) == 41 and {r["node"]: r["few"] for r in rows}["n02"] == ["n00", "n01", "n03"]
     got = {r["node"]: (r["degree"], r["centrality"], r["neighbours"]) for r in graph.degree_centrality(spark.createDataFrame(pairs, "a string, b string"), listed=3).collect()}
     assert len(got) == 40 and got["n00"] == (40, 1.0, ["n01", "n02"]) and got["n39"] == (39, 39 / 40, ["n00", "n01", "n02"])
+
+
+def test_degrees_are_counted_where_edges_are_made(spark):
+    e = spark.createDataFrame([(f"n{i:03}", f"n{j:03}", 1) for i in range(60) for j in range(i + 1, 60) if (i + j) % 3], "a string, b string, weight long").repartition(3)
+    want = {}
+    for r in e.collect():
+        for n in (r["a"], r["b"]):
+            want[n] = want.get(n, 0) + 1
+    got = graph.degrees(e)
+    assert {r["node"]: r["degree"] for r in got.collect()} == want
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "MapInArrow" in plan  # no row per end of an edge
+    assert {r["node"] for r in graph.weak_devices(e, most=39).collect()} == {n for n, d in want.items() if d <= 39}
+    assert graph.degrees(e.limit(0)).collect() == []
