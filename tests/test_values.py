@@ -125,6 +125,26 @@ def test_coordinated_encryption_blocks(spark):
     assert len(one_block) == sum(1 for i in range(40) for j in range(40) if "abcdefgh"[i % 8] < "abcdefgh"[j % 8] and abs(i - j) < 10)
 
 
+def test_coordinated_pairs_need_no_shuffle_of_pairs(spark, monkeypatch):
+    names = [("abcdefgh" * 5)[t] for t in range(40)]
+    k5 = frame(spark, [(s, t, "x") for t, s in enumerate(names)] + [("a", 3, "x"), ("z", 10_000, "x"), (None, 5, "x"), ("h", None, "x")],
+               "subject string, s bigint, app string", "data_start")
+    plain = correlate.coordinated_encryption(k5, 10)
+    want = sorted(map(tuple, correlate.coordinated_pairs(plain).collect()))
+    for meetings, batch in ((10_000_000, 1 << 20), (20, 1 << 20), (10_000_000, 3)):  # one cell, many, and batches smaller than a member
+        monkeypatch.setattr(correlate, "CELL_MEETINGS", meetings)
+        monkeypatch.setattr(correlate._meetings, "__defaults__", (batch,))
+        listed = correlate.coordinated_encryption(k5, 10, by_pair=True)
+        assert sorted(map(tuple, listed.collect())) == sorted(map(tuple, plain.select("a", "b", "gap_seconds").collect()))
+        pairs = correlate.coordinated_pairs(listed, by_pair=True)
+        plan = pairs._jdf.queryExecution().executedPlan().toString()
+        above = plan[:plan.rindex("MapInArrow")]
+        assert above.count("MapInArrow") == 1 and "HashAggregate" not in above and "Exchange" not in above
+        assert sorted(map(tuple, pairs.collect())) == want
+    none = correlate.coordinated_encryption(k5.limit(0), 10, by_pair=True)
+    assert correlate.coordinated_pairs(none, by_pair=True).collect() == []
+
+
 def moves(spark, rows):
     return frame(spark, rows, "mobile_number string, s bigint, tower_id string, lat double, long double, event_id bigint", "timestamp")
 
