@@ -1,6 +1,7 @@
 """Order-dependent operators against plain loops over small random input."""
 
 import random
+import time
 from itertools import groupby
 
 from pyspark.sql import functions as F
@@ -140,6 +141,17 @@ def test_group_windows(spark):
         assert sorted((r["tower_id"], r["s"], tuple(r["members"])) for r in got.collect()) == naive_groups(data)
 
 
+def test_group_windows_of_a_crowd(spark):
+    """Every start in a crowded window is decided without a look at all its members."""
+    n = 30_000
+    rows = spark.range(n).select(F.lit("T").alias("tower_id"), F.timestamp_micros(F.col("id") * (300_000_000 // n)).alias("timestamp"),
+                                 F.format_string("n%05d", "id").alias("mobile_number"), F.col("id").alias("event_id"))
+    start = time.monotonic()
+    found = [(len(r["members"]), r["numbers"], r["duration_seconds"]) for r in behaviour.group_windows(rows).collect()]
+    assert found == [(n, n, 299.99)]
+    assert time.monotonic() - start < 25  # a set of all members for every start takes minutes
+
+
 def test_recurring_pairs(spark):
     data, df = towers(spark, random.Random(6))
     want = {}
