@@ -5,7 +5,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from tallymast.operators import compose, correlate, ipdr
+from tallymast.operators import cdr, compose, correlate, ipdr, risk
 from tallymast.session import kept
 
 CALLS = ("event_id long, subject string, a_party string, b_party string, is_provider_message boolean, datetime timestamp, call_type string, duration_seconds long, "
@@ -67,6 +67,22 @@ def test_integrated_risk_reads_its_sources_once(calls, sessions):
     assert got["a"]["correlation_score"] == pytest.approx(min(100.0, 1.5 * (25 + 30 + 5)))
 
 
+def test_flag_rows_reads_the_calls_once(spark, calls):
+    c, times = counted(calls, "call_type")
+    none = spark.createDataFrame([], "members array<string>")
+    got = [tuple(r) for r in risk.flag_rows(c, none).collect()]
+    assert times.value == 60
+    assert len(got) == len(set(got))
+    assert ("device", "DEVICE_LEVEL", "MEDIUM", "a") in got and ("communication", "VOICE_ONLY", "NONE", "b") in got
+    assert {r[3] for r in got if r[1] == "CLUSTERS"} == {"a", "b", "c"}
+
+
+def test_cycles_compute_the_links_once(spark):
+    links, times = counted(spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("a", "b")], "src string, dst string"), "dst")
+    assert [tuple(r) for r in cdr.call_cycles(links).collect()] == [(["a", "b", "c"], ["a", "b", "c"], 3)]
+    assert times.value <= 5
+
+
 def test_counts_with_and_without_the_encrypted_rows(calls, sessions):
     k2 = correlate.call_to_data(calls, sessions)
     k3, k6 = correlate.call_silences(calls), correlate.channel_shifts(calls, sessions)
