@@ -233,3 +233,11 @@ def test_degrees_are_counted_where_edges_are_made(spark):
     assert "Generate" not in plan and "MapInArrow" in plan  # no row per end of an edge
     assert {r["node"] for r in graph.weak_devices(e, most=39).collect()} == {n for n, d in want.items() if d <= 39}
     assert graph.degrees(e.limit(0)).collect() == []
+
+
+def test_betweenness_of_large_graphs_takes_all_sources(spark):
+    """A hub of 3,000 is between all of its nodes; a sample of sources, scaled, would say a little more."""
+    e = spark.createDataFrame([("hub", f"n{k:04}") for k in range(3000)], "a string, b string")
+    assert graph.pivots(graph.degrees(e).select("node"), 3001, 0.05).count() < 3001
+    got = {r["node"]: r["betweenness"] for r in graph.betweenness(e).filter("betweenness > 0").collect()}
+    assert got == {"hub": pytest.approx(1.0, abs=1e-9)}
