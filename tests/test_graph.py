@@ -241,3 +241,16 @@ def test_betweenness_of_large_graphs_takes_all_sources(spark):
     assert graph.pivots(graph.degrees(e).select("node"), 3001, 0.05).count() < 3001
     got = {r["node"]: r["betweenness"] for r in graph.betweenness(e).filter("betweenness > 0").collect()}
     assert got == {"hub": pytest.approx(1.0, abs=1e-9)}
+
+
+def test_path_shares_of_long_lists():
+    """All pairs of 40 nodes but of the even ones, whose lists are summed in pieces of different lengths."""
+    import pyarrow as pa
+
+    adj = {u: [v for v in range(40) if v != u and (u + v) % 2] + ([] if u % 2 else [41]) for u in range(40)} | {41: list(range(0, 40, 2))}
+    want = {v: sum(bfs(adj, s)[1][v] * bfs(adj, v)[1][t] / bfs(adj, s)[1][t] for s in (0, 1, 41) for t in adj
+                   if len({s, t, v}) == 3 and bfs(adj, s)[0][v] + bfs(adj, v)[0][t] == bfs(adj, s)[0][t]) for v in adj}
+    for at_once in (3, 30, 1 << 21):
+        rows = pa.table({"g": [0] * len(adj), "sources": [[0, 1, 41]] * len(adj), "u": list(adj), "vs": list(adj.values())})
+        found = [b.to_pydict() for b in graph._path_shares(at_once)(rows.to_batches(max_chunksize=7))]
+        assert dict(zip(found[0]["id"], found[0]["share"])) == pytest.approx(want)
