@@ -96,3 +96,17 @@ def test_correlations_are_of_subjects_in_both_sources(calls, sessions):
     for name in ("call_to_data", "encrypted_after_call", "call_silences", "data_in_silence", "timeline"):
         assert {r[0] for r in k[name].select("subject").distinct().collect()} == {"a", "b"}, name
     assert k["channel_shifts"].isEmpty()
+
+
+def test_integrated_report_reads_its_sources_once(calls, sessions):
+    towers = calls.select("event_id", F.col("a_party").alias("mobile_number"), F.col("datetime").alias("timestamp"), F.col("first_cell").alias("tower_id"),
+                          "imei", "imsi", "lat", "lon", F.col("duration_seconds").alias("duration"), F.lit("D1").alias("dump_id"))
+    c, of_calls = counted(calls, "b_party")
+    i, of_sessions = counted(sessions, "destination_port")
+    t, of_towers = counted(towers, "tower_id")
+    report = compose.integrated_report(c, i, t, lon="lon")
+    assert report["tower.summary"].count() == 2
+    links = {tuple(r) for r in report["links"].filter("kind = 'COORDINATED_ENCRYPTION'").collect()}
+    assert (of_calls.value, of_sessions.value, of_towers.value) == (60, 120, 60)
+    pairs = correlate.correlate(calls, sessions)["coordinated"].select(F.explode(F.array("a", "b")).alias("s")).groupBy("s").count().collect()
+    assert links == {(r["s"], "COORDINATED_ENCRYPTION", r["count"]) for r in pairs} and links

@@ -257,3 +257,55 @@ def test_results_do_not_depend_on_input_order(views):
     t = views.tower_dump_dense
     assert rows(movement.trajectories(t, lon="lon").select("mobile_number", "moves", "stops")) == rows(
         movement.trajectories(t.orderBy(F.rand(6)).repartition(5), lon="lon").select("mobile_number", "moves", "stops"))
+
+
+@pytest.mark.parametrize(("groups", "share"), [(400, 0.08), (30, 0.5)])
+def test_crowded_cells_are_counted_member_by_member_or_by_products(groups, share):
+    """Cells of two blocks of 700 and 800 members, in groups that hold few or many of them."""
+    import numpy as np
+    import pyarrow as pa
+
+    has = np.random.default_rng(3).random((1500, groups)) < share
+    common, order = has.astype(int) @ has.T.astype(int), random.Random(1).sample(range(1500), 1500)
+    low, high = order[:700], order[700:]
+    layout = pa.schema([("_i", pa.int32()), ("_j", pa.int32()), ("_high", pa.bool_()), ("_m", pa.string()), ("_gs", pa.list_(pa.int64()))])
+    cells = [(0, 0, low, []), (0, 1, low, high), (1, 1, high, [])]
+    rows = [{"_i": i, "_j": j, "_high": m in set(far), "_m": f"m{m:04}", "_gs": np.flatnonzero(has[m]).tolist()} for i, j, near, far in cells for m in near + far]
+    batches = pa.Table.from_pylist(rows, schema=layout).to_batches(max_chunksize=400)
+    for least, plain in ((1, True), (3, False)):
+        got = {}
+        for b in joins.pair_counter(least, 0, ["a", "b", "n"], plain=plain)(batches):
+            for x, y, n in zip(*(c.to_pylist() for c in b.columns)):
+                assert x < y and (x, y) not in got
+                got[x, y] = n
+        assert got == {(f"m{i:04}", f"m{j:04}"): common[i, j] for i in range(1500) for j in range(i + 1, 1500) if common[i, j] >= least}
+
+
+def test_pairs_are_read_in_the_tasks_that_count_them(spark, monkeypatch):
+    """No row per pair leaves the task that counts it; what is derived from the pairs is read as it is."""
+    from tallymast.operators import graph
+
+    df = spark.createDataFrame([(g, f"m{m:02}") for g in range(4) for m in range(40) if (m + g) % 5], "g int, m string")
+    pairs = joins.packed_pairs(df, ["g"], "m", 2, 3)
+    listed = [tuple(r)[:2] for r in pairs.collect()]
+    ends = {m: sum(m in p for p in listed) for m in {x for p in listed for x in p}}
+    for e in (pairs, pairs.select("*")):
+        assert joins.row_count(e).first()["rows"] == len(listed)
+        assert {r["node"]: r["degree"] for r in graph.degrees(e).collect()} == ends
+        assert {r["node"]: r["degree"] for r in graph.degree_centrality(e).collect()} == ends
+        assert {r["component"] for r in graph.components(e).collect()} == {min(ends)}
+        assert {r["node"] for r in graph.eigenvector(e, iters=8).collect()} == set(ends)
+        assert tuple(graph.network_summary(e).first())[:2] == (len(ends), len(listed))
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow")
+    assert (plan(graph.degrees(pairs)), plan(graph.degrees(pairs.select("*")))) == (1, 2)
+    assert joins.row_count(joins.packed_pairs(df, ["g"], "m", 2, 3, samples=2)).first()["rows"] == len(listed)
+    assert joins.row_count(joins.packed_pairs(df.limit(0), ["g"], "m", 1)).first()["rows"] == 0
+    assert graph.eigenvector(joins.packed_pairs(df.limit(0), ["g"], "m", 1)).collect() == []
+
+
+def test_blocks_for_the_sake_of_pairs_are_few(spark, monkeypatch):
+    """Every block is a copy of all rows: however many pairs there are, no more than ``MOST_BLOCKS`` are cut for them."""
+    monkeypatch.setattr(joins, "CELL_PAIRS", 1)
+    monkeypatch.setattr(joins, "CROWDED", 0)
+    df = spark.createDataFrame([("g", f"m{m}") for m in range(200)], "g string, m string")
+    assert joins.crowded_blocks(df, ["g"]) == joins.MOST_BLOCKS
